@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -106,8 +107,9 @@ class ByteBPE:
             ids, ranks = ids[:, :used], ranks[:, : max(used - 1, 0)]
 
     def _long(self, token: bytes) -> tuple[int, ...]:
-        """One long token: a round merges all places of the least pair from left to right; should that make a pair of
-        lesser rank than the one merged (then leftmost-first could differ), only the leftmost is merged."""
+        """One long token: a round merges all places of the least pair from left to right. That is what leftmost-first
+        does unless a merged place makes a pair of lesser rank with what stands beside it at that time; then only the
+        leftmost place is merged."""
         ids = self.byte_ids[np.frombuffer(token, np.uint8)]
         ranks = self.pairs.find(ids[:-1], ids[1:])
         while len(ids) > 1 and (least := ranks.min()) != NONE:
@@ -115,16 +117,17 @@ class ByteBPE:
             # of overlapping places (a run of one symbol) every other one is merged
             run = np.cumsum(np.r_[True, np.diff(at) > 1])
             at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
-            for some in (at, at[:1]):
-                keep = np.ones(len(ids), bool)
-                keep[some + 1] = False
-                merged = ids.copy()
-                merged[some] = least
-                merged = merged[keep]
-                new = self.pairs.find(merged[:-1], merged[1:])
-                if len(some) == 1 or not len(new) or new.min() >= least:
-                    break
-            ids, ranks = merged, new
+            merged = np.full(len(at), least)
+            after = np.r_[ids, -1, -1][at + 2]
+            before = np.where(np.r_[False, np.diff(at) == 2], least, np.r_[-1, ids][at])
+            if min(self.pairs.find(merged, after).min(), self.pairs.find(before, merged).min()) < least:
+                at = at[:1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids.copy()
+            ids[at] = least
+            ids = ids[keep]
+            ranks = self.pairs.find(ids[:-1], ids[1:])
         return tuple(ids.tolist())
 
     def encode_tokens(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
@@ -164,6 +167,12 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def _coder(path: str, pattern: str) -> ByteBPE:
+    """One a worker process, so that tasks share the pre-tokens it remembers."""
+    return ByteBPE(load_ranks(path), pattern)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", output: str = "ids") -> DataFrame:
     """Per row: id and ids (array<int>), or with output="digests": n_tokens, ids_sha256, decoded_sha256.
 
@@ -177,7 +186,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import public_tokenizers
 
-        bpe = ByteBPE(load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN)
+        bpe = _coder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 coded = bpe.encode([t or "" for t in part.column("text").to_pylist()])

@@ -33,7 +33,7 @@ def features(text: str | None, hashes: WordHashes) -> tuple[float, ...]:
 class AdditiveModel:
     """Bins per feature, one table a feature and one a pair; the score is the sum of the tables' entries at the bins."""
 
-    def __init__(self, bins: int = 48, rounds: int = 120, pairs: int = 8, pair_rounds: int = 40, pair_bins: int = 8, rate: float = 0.1, leaves: int = 3, ridge: float = 2.0) -> None:
+    def __init__(self, bins: int = 48, rounds: int = 120, pairs: int = 8, pair_rounds: int = 40, pair_bins: int = 16, rate: float = 0.1, leaves: int = 3, ridge: float = 2.0) -> None:
         self.max_bins, self.rounds, self.n_pairs, self.pair_rounds, self.pair_bins = bins, rounds, pairs, pair_rounds, pair_bins
         self.rate, self.leaves, self.ridge = rate, leaves, ridge
         self.base, self.edges, self.tables, self.pairs = 0.0, [], [], []

@@ -92,14 +92,14 @@ def binomial_upper(rejected: int, n: int, delta: float) -> float:
     return high
 
 
-def choose_cutoff(good: np.ndarray, bad: np.ndarray, most: float, delta: float, price: float = 20.0) -> int | None:
+def choose_cutoff(good: np.ndarray, bad: np.ndarray, most: float, delta: float, price: float = 20.0, share: float = 0.02) -> int | None:
     """A bin to cut at (bins at and over it fail), or None. good and bad: labelled documents in each bin.
 
     Fixed sequence: from the most lenient cutoff on, each is tested at level delta until the first whose bound on false
     rejection goes over most; all before are certified at once. Of these, the one is taken that rejects most bad
-    documents after a price for each good one; of equals the most lenient.
+    documents after a price for each good one, and more than a share of them; of equals the most lenient.
     """
-    n, best, at = int(good.sum()), 0.0, None
+    n, best, at = int(good.sum()), share * int(bad.sum()), None
     lost, caught = 0, 0
     for i in range(len(good) - 1, 0, -1):
         lost, caught = lost + int(good[i]), caught + int(bad[i])
