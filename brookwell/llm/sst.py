@@ -7,9 +7,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -143,29 +145,120 @@ class ShardReader:
         self.file.close()
 
 
+#: Classes of bytes: 0 blanks that chunks are cut at, 1 ASCII letters, 2 ASCII symbols but for the apostrophe, 3 others.
+_CLASS = np.array([0 if c in b" \t\n\r" else 1 if chr(c).isalpha() and c < 128 else 2 if 33 <= c < 127 and not chr(c).isalnum() and c != 39 else 3 for c in range(256)], np.uint8)
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Random numbers by place and byte: the sum over a chunk's bytes is its hash.
+_PLACES = 64
+_TABLE = np.random.Generator(np.random.PCG64(20240502)).integers(0, 2**64, _PLACES * 256, np.uint64)
+
+
 class ChunkEncoder:
-    """Token ids of texts by the tokenizers library, each distinct chunk between blanks encoded once.
+    """Token ids of texts by the tokenizers library, each distinct chunk encoded once as long as it is remembered.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are those of its chunks in turn.
+    The vocabulary drops white space and no token spans it, so a text's ids are those of its chunks in turn; letters
+    come in lower case, and a symbol after a letter begins a pre-token, so texts are cut there as well. Cutting, hashing
+    and putting ids together are array operations over many texts. Chunks are told apart by 64-bit hashes from a
+    random table. A text with a special token's name in it goes to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode_batch_fast, {}
+        library = Tokenizer.from_file(path)
+        self.encode, self.most = library.encode_batch_fast, most
+        self.special = [t.content.lower().encode() for t in library.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(library.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks. Those of Latin letters alone go to the library as lines of many: each is one pre-token, whose
+        last id, and no other, is marked as a word's end. Below U+0250 nothing composes, and lower case goes letter by
+        letter but for one capital."""
+        out: list[np.ndarray] = [None] * len(chunks)
+        plain = [k for k, c in enumerate(chunks) if c.isalpha() and max(c) < "\u0250" and "\u0130" not in c]
+        alone = {*range(len(chunks))} - {*plain}
+        rows = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
+        for own, e in zip(rows, self.encode([" ".join(map(chunks.__getitem__, r)) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(own):
+                alone |= {*own}
+                continue
+            for k, part in zip(own, np.split(ids, ends[:-1]), strict=True):
+                out[k] = part
+        rest = sorted(alone)
+        for i in range(0, len(rest), 4096):
+            own = rest[i : i + 4096]
+            for k, e in zip(own, self.encode([chunks[k] for k in own], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, np.uint32)
+        return out
+
+    def _indexes(self, hashes: np.ndarray, chunk_of) -> np.ndarray:
+        """Places in at and size for distinct hashes; chunk_of(i) gives the i-th one's chunk."""
+        found = [*map(self.known.get, hashes.tolist())]
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            parts = self._learn([chunk_of(i) for i in new])
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            first = len(self.at)
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.size, self.flat = np.concatenate((self.size, sizes)), np.concatenate((self.flat, *parts))
+            for n, i in enumerate(new):
+                found[i] = first + n
+            self.known.update(zip(hashes[new].tolist(), range(first, first + len(new)), strict=True))
+        return np.array(found, np.int64)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) as little-endian 32-bit integers."""
+        if len(self.known) > self.most:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offsets[0] == offsets[-1]:
+            return [b""] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kind = _CLASS[data]
+        solid = kind != 0
+        if not solid.any():
+            return [b""] * len(texts)
+        begin = np.ones(len(data), bool)
+        begin[1:] = ~solid[:-1] | ((kind[:-1] == 1) & (kind[1:] == 2))
+        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begin &= solid
+        folded = _FOLD[data[solid]]
+        start = np.flatnonzero(begin[solid])
+        size = np.diff(np.r_[start, len(folded)])
+        place = np.minimum(np.arange(len(folded)) - np.repeat(start, size), _PLACES - 1)
+        h = np.add.reduceat(_TABLE[(place << 8) | folded], start)
+        raw = folded.tobytes()
+        for w in np.flatnonzero(size > _PLACES).tolist():
+            h[w] = xxhash.xxh3_64_intdigest(raw[start[w] : start[w] + size[w]])
+        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        index = self._indexes(distinct, lambda i: raw[start[first[i]] : start[first[i]] + size[first[i]]].decode("utf-8", "surrogatepass"))[back]
+        n = self.size[index]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.at[index] - upto + n, n) + np.arange(upto[-1])].astype("<u4").tobytes()
+        edges = np.r_[0, upto][np.searchsorted(np.flatnonzero(begin), offsets)].tolist()
+        out = [ids[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        low = _FOLD[data].tobytes()
+        if any(t in low for t in self.special):
+            for k in range(len(texts)):
+                if any(t in low[offsets[k] : offsets[k + 1]] for t in self.special):
+                    out[k] = np.array(self.encode([texts[k].as_py()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return out
+
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = set().union(*split) - self.known.keys()
-        if len(self.known) + len(fresh) > 600_000:
-            self.known, fresh = {}, set().union(*split)
-        chunks = [*fresh]
-        for i in range(0, len(chunks), 4096):
-            own = chunks[i : i + 4096]
-            self.known.update(zip(own, (np.array(e.ids, "<u4").tobytes() for e in self.encode(own, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One a worker process, so that tasks share what they have learnt."""
+    return ChunkEncoder(path)
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -189,13 +282,13 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = ChunkEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
+        coder = _encoder(path or public_tokenizers.path("word_bpe_49k.json"))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 ids = part.column("doc_id")
                 known = np.array([-(1 << 63) if i is None else i for i in ids.to_pylist()], np.int64)
-                yield {"shard": np.searchsorted(bounds, known, "left").astype(np.int32), "doc_id": ids, "ids": [x + end for x in coder(part.column("text").to_pylist())]}
+                yield {"shard": np.searchsorted(bounds, known, "left").astype(np.int32), "doc_id": ids, "ids": [x + end for x in coder(part.column("text"))]}
 
     coded = map_arrow(d, encode, "shard int, doc_id long, ids binary")
 
