@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 from .common import clean_rows
 
 #: Rows of a candidate block, queries that meet it at once, pivots of a block, candidates that are evaluated first.
-BLOCK, QUERIES, PIVOTS, FIRST = 2048, 4096, 32, 128
+BLOCK, QUERIES, PIVOTS, FIRST = 8192, 2048, 32, 128
 
 
 def dots(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of integers held as doubles, exactly; int64, or Python integers where 64 bits could run over."""
     most = float(np.abs(rows).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * rows.shape[-1]
+    if most < 2.0 ** (24 if rows.dtype == np.float32 else 53):
+        return (rows @ q.astype(rows.dtype)).astype(np.int64)
+    rows = rows.astype(np.float64)
     if most < 2.0**53:
         return (rows @ q).astype(np.int64)
     if most < 2.0**63:
@@ -36,7 +40,9 @@ class PivotBlock:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: int = PIVOTS) -> None:
         by = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[by], rows[by]
-        norms = (self.rows**2).sum(1)
+        if float(np.abs(rows).max(initial=0.0)) ** 2 * rows.shape[-1] < 2.0**24:
+            self.rows = self.rows.astype(np.float32)  # small integers: single precision holds their products
+        norms = (self.rows.astype(np.float64) ** 2).sum(1)
         self.m2 = float(norms.max(initial=0.0))
         lift = np.sqrt(np.maximum(self.m2 - norms, 0))
         # pivots far from each other: each next one has the greatest distance to those before
@@ -44,39 +50,57 @@ class PivotBlock:
         table = []
         for _ in range(min(pivots, len(rows))):
             p = chosen[-1]
-            d = np.sqrt(np.maximum(2 * self.m2 - 2 * (self.rows @ self.rows[p] + lift * lift[p]), 0))
+            d = np.sqrt(np.maximum(2 * self.m2 - 2 * (self.rows @ self.rows[p].astype(np.float64) + lift * lift[p]), 0))
             table.append(d)
             far = np.minimum(far, d)
             chosen.append(int(far.argmax()))
-        self.pivots, self.table = self.rows[chosen[:-1]], np.array(table)
+        self.pivots, self.table = self.rows[chosen[:-1]], np.array(table, np.float32)
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the scores, one row a query; a little slack covers rounding."""
+    def bounds(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """Upper bounds of the scores, query by query. Distances are single precision; the slack is ten times its error."""
         own = (queries**2).sum(1)
-        d = np.sqrt(np.maximum(own[:, None] + self.m2 - 2 * (queries @ self.pivots.T), 0))
-        low = np.zeros((len(queries), len(self.ids)))
-        for p in range(len(self.pivots)):
-            np.maximum(low, np.abs(d[:, p, None] - self.table[p]), out=low)
-        top = (own[:, None] + self.m2 - low**2) / 2
-        return top + 1e-9 * (own[:, None] + self.m2) + 1e-6
+        d = np.sqrt(np.maximum(own[:, None] + self.m2 - 2 * (queries @ self.pivots.T.astype(np.float64)), 0)).astype(np.float32)
+        for square, far in zip(own, d, strict=True):
+            low = np.abs(self.table - far[:, None]).max(0)
+            low *= low
+            yield (square + self.m2) * (0.5 + 1e-5) + 1e-6 - low / 2
+
+    def _best(self, best_id: np.ndarray, best: np.ndarray, by: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, scores = np.r_[best_id, self.ids[by]], np.concatenate((best, scores))
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query id, id, score) of the k best of the block for each query, ties to the smaller id, not its own id."""
+        """(query id, id, score) of the k best of the block for each query, ties to the smaller id, not its own id.
+
+        The candidates of highest bounds give a first k-th score; those whose bounds reach it follow in the order of
+        their bounds until the next bound is below the k-th score. Where the bounds rule out less than half of the
+        block (vectors without any nearness), the rest is one product over the block: the order would spare nothing.
+        """
         out: list[tuple[int, int, int]] = []
-        for s in range(0, len(queries), 128):
-            bounds = self.bounds(queries[s : s + 128])
-            order = np.argsort(-bounds, axis=1, kind="stable")
-            for qid, q, bound, by in zip(query_ids[s : s + 128].tolist(), queries[s : s + 128], bounds, order, strict=True):
-                by = by[self.ids[by] != qid]
-                best_id, best = np.empty(0, np.int64), np.empty(0, np.int64)
-                at, step = 0, FIRST
-                while at < len(by) and (len(best) < k or bound[by[at]] >= best[-1]):
-                    own = by[at : at + step]
-                    ids, scores = np.r_[best_id, self.ids[own]], np.concatenate((best, dots(self.rows[own], q)))
-                    top = np.lexsort((ids, -scores))[:k]
-                    best_id, best = ids[top], scores[top]
-                    at, step = at + step, 2 * step
-                out += [(qid, int(i), int(v)) for i, v in zip(best_id, best, strict=True)]
+        for qid, q, bound in zip(query_ids.tolist(), queries, self.bounds(queries), strict=True):
+            at = np.searchsorted(self.ids, qid)
+            if at < len(self.ids) and self.ids[at] == qid:
+                bound[at] = -np.inf
+            best_id, best = np.empty(0, np.int64), np.empty(0, np.int64)
+            by = np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else np.arange(len(bound))
+            by = by[np.isfinite(bound[by])]
+            best_id, best = self._best(best_id, best, by, dots(self.rows[by], q), k)
+            bound[by] = -np.inf
+            rest = bound >= best[-1] if len(best) == k else np.isfinite(bound)
+            n = int(np.count_nonzero(rest))
+            if 2 * n > len(bound):
+                scores = dots(self.rows, q)
+                by = np.flatnonzero(rest & (scores >= best[-1])) if len(best) == k else np.flatnonzero(rest)
+                best_id, best = self._best(best_id, best, by, scores[by], k)
+            elif n:
+                by = np.flatnonzero(rest)
+                by = by[np.argsort(-bound[by], kind="stable")]
+                step = FIRST
+                while len(by) and (len(best) < k or bound[by[0]] >= best[-1]):
+                    best_id, best = self._best(best_id, best, by[:step], dots(self.rows[by[:step]], q), k)
+                    by, step = by[step:], 2 * step
+            out += [(qid, int(i), int(v)) for i, v in zip(best_id, best, strict=True)]
         return out
 
 
