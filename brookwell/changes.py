@@ -169,10 +169,12 @@ def update(catalog: Catalog, statement: Update) -> int:
     key = table.primary_key
     if key in changes and (duplicates(changed, key).limit(1).count() or taken(changed, rest, key).limit(1).count()):
         raise ConstraintError(table.name, {f"primary key {key}": n})
+    state: dict[str, DataFrame] = {}
     for child, c in _children(catalog, table.name):
         if c["references"]["column"] in changes:
-            _follow(catalog, table, df.where(hit), child, c, c["references"]["on_update"], changes[c["references"]["column"]])
-    _replaced(catalog, table, updated(df, changes, where))
+            _follow(catalog, state, df.where(hit), child, c, c["references"]["on_update"], changes[c["references"]["column"]])
+    state[table.name] = updated(state.get(table.name, df), changes, where)
+    _publish(catalog, state)
     return n
 
 
@@ -190,16 +192,28 @@ def delete(catalog: Catalog, statement: Delete) -> int:
     n = gone.count()
     if not n:
         return 0
+    state: dict[str, DataFrame] = {}
     for child, c in _children(catalog, table.name):
-        _follow(catalog, table, gone, child, c, c["references"]["on_delete"], None)
-    # the rows that a cascade into this very table has taken are gone already
-    _replaced(catalog, table, deleted(catalog.read(table.name), where))
+        _follow(catalog, state, gone, child, c, c["references"]["on_delete"], None)
+    state[table.name] = deleted(state.get(table.name, df), where)
+    _publish(catalog, state)
     return n
 
 
-def _follow(catalog: Catalog, table: Table, gone: DataFrame, child: Table, c: dict, action: str, new: Column | None) -> None:
-    """What happens to rows that refer to rows which go (new: None) or get another value."""
-    rows = catalog.read(child.name)
+def _publish(catalog: Catalog, state: dict[str, DataFrame]) -> None:
+    """All the tables that a statement changes, once nothing stands against it: written first, then published."""
+    parts = {name: catalog.write(catalog.table(name), rows) for name, rows in state.items()}
+    for name, part in parts.items():
+        table = catalog.table(name)
+        table.parts = [part]
+        catalog.publish(table)
+
+
+def _follow(catalog: Catalog, state: dict[str, DataFrame], gone: DataFrame, child: Table, c: dict, action: str, new: Column | None) -> None:
+    """What happens to rows that refer to rows which go (new: None) or get another value: the child's new rows into
+    state, where nothing is published yet, or an error."""
+    rows = state.get(child.name)
+    rows = catalog.read(child.name) if rows is None else rows
     column = F.col(f"`{c['name']}`")
     keys = gone.select(F.col(f"`{c['references']['column']}`").alias("_gone")).where("_gone is not null").distinct()
     hit = rows.join(keys, column == F.col("_gone"), "left_semi")
@@ -210,15 +224,15 @@ def _follow(catalog: Catalog, table: Table, gone: DataFrame, child: Table, c: di
     if action == "cascade" and new is None:
         for grandchild, g in _children(catalog, child.name):
             if grandchild.name != child.name:
-                _follow(catalog, child, hit, grandchild, g, g["references"]["on_delete"], None)
-        _replaced(catalog, child, rows.join(keys, column == F.col("_gone"), "left_anti"))
+                _follow(catalog, state, hit, grandchild, g, g["references"]["on_delete"], None)
+        state[child.name] = rows.join(keys, column == F.col("_gone"), "left_anti")
         return
     if action == "set null" and c.get("not_null"):
         raise ConstraintError(child.name, {f"not null {c['name']}": hit.count()})
     kind = child.schema[c["name"]].dataType
     value = F.lit(None).cast(kind) if action == "set null" or new is None else new.cast(kind)
     marked = rows.join(keys, column == F.col("_gone"), "left")
-    _replaced(catalog, child, marked.withColumn(c["name"], F.when(F.col("_gone").isNotNull(), value).otherwise(column)).drop("_gone"))
+    state[child.name] = marked.withColumn(c["name"], F.when(F.col("_gone").isNotNull(), value).otherwise(column)).drop("_gone")
 
 
 def compact(catalog: Catalog, name: str, files: int | None = None, sort_by: list[str] | None = None) -> None:
