@@ -54,14 +54,14 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
         return spark.createDataFrame([], T.StructType([]))
     cells = next(csv.reader([first[0]], delimiter=delimiter, skipinitialspace=True))
     names, header = column_names([c.strip() for c in cells])
-    # one more column than the file has shows rows that are too long; absent cells come as null, empty ones as ""
+    # one more column than the file has shows rows that are too long; in a row of the right length a null cell is an empty one
     inner = [f"_c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*inner, "_bad"]])
     # without pruning, as a pruned parser would not see that a row is ragged
     rows = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     # Spark refuses to read the column of bad lines alone, so the filter touches another one as well
     good = F.col("_bad").isNull() & (F.coalesce(F.length("_c0"), F.lit(0)) >= 0)
-    return rows.where(good).select(*[F.col(c).alias(n) for c, n in zip(inner, names, strict=True)])
+    return rows.where(good).select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(inner, names, strict=True)])
 
 
 def skipped(spark: SparkSession, path: str, delimiter: str = ",") -> int:
