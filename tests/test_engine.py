@@ -252,6 +252,31 @@ def test_csv_import(spark, engine, tmp_path):
     assert sorted(r.col_1 for r in engine.execute("select plain").collect()) == ["1", "2"]
 
 
+def test_csv_command(spark, tmp_path, capsys):
+    from brookwell import import_csv
+
+    (tmp_path / "c.csv").write_text("a,b\n1,2\nshort\n3,4\n")
+    assert import_csv.main([str(tmp_path / "c.csv"), "--root", f"file://{tmp_path}/r", "--table", "c"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("2 rows") and "1 left out" in out
+    assert Engine(spark, f"file://{tmp_path}/r").execute("select c").count() == 2
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """What is left when their folders are gone still imports, and registers the engine's own queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{repo}/brookwell", tmp_path / "brookwell", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "brookwell/llm/__pycache__").mkdir(parents=True)
+    shutil.copy(f"{repo}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()); assert 'flagship' in e.queries() and not any(q.startswith('op') for q in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_stream_batches_land_once(spark, engine, tmp_path):
     path = str(tmp_path / "in")
     spark.range(50).selectExpr("id as k", "cast(id as string) as v").repartition(3).write.parquet(path)
