@@ -10,7 +10,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,10 +131,23 @@ class Catalog:
         """A scan of the current version; later versions don't touch its files."""
         if name in self.views:
             return self.views[name]
-        table = self.table(name)
-        if not table.parts:
+        return self.read_parts(self.table(name), self.table(name).parts)
+
+    def read_parts(self, table: Table, parts: list[str]) -> DataFrame:
+        """The rows of some of a table's folders."""
+        if not parts:
             return self.spark.createDataFrame([], table.schema)
-        return self.spark.read.schema(table.schema).parquet(*(self.store.path("tables", name, p) for p in table.parts))
+        return self.spark.read.schema(table.schema).parquet(*(self.store.path("tables", table.name, p) for p in parts))
+
+    def parts_of(self, table: Table, where: Column | None = None, keys: DataFrame | None = None, key: str | None = None) -> dict[str, int]:
+        """The folders that hold rows of a filter, or with one of the keys (column _key), and how many of them each."""
+        if not table.parts:
+            return {}
+        df = self.read_parts(table, table.parts).withColumn("_part", F.regexp_extract("_metadata.file_path", r"/(v\d+-[0-9a-f]{32})/", 1))
+        df = df if where is None else df.where(where)
+        if keys is not None:
+            df = df.join(keys, F.col(f"`{key}`") == F.col("_key"), "left_semi")
+        return {r["_part"]: r["count"] for r in df.groupBy("_part").count().collect()}
 
     def indexed(self, table: str) -> list[str]:
         return [c for t, c in self.indexes.values() if t == table]
@@ -161,7 +174,7 @@ class Catalog:
         return part
 
     def written(self, table: Table, part: str) -> DataFrame:
-        return self.spark.read.schema(table.schema).parquet(self.store.path("tables", table.name, part))
+        return self.read_parts(table, [part])
 
     def drop_part(self, table: Table, part: str) -> None:
         self.store.delete(self.store.path("tables", table.name, part))

@@ -17,7 +17,7 @@ from .operators.predicates import filter_column
 from .plans.binder import literal
 from .sources.rows import fitted, from_mappings
 
-#: Parts of a table before an insert makes it one again.
+#: Folders of a table before an insert makes the newer half one: old folders, large by then, are left alone.
 MOST_PARTS = 64
 
 
@@ -93,15 +93,19 @@ def load(catalog: Catalog, name: str, rows: DataFrame, validate: bool = True, st
         old = catalog.read(name) if table.parts else None
         if validate:
             _checked(catalog, table, new, {}, old, key)
-        parts = [*table.parts, part]
-        if old is not None and key and taken(new, old, key).limit(1).count():
-            part = catalog.write(table, upserted(old, new, key))
+        # only folders that hold a key of the new rows are written again
+        keys = new.select(F.col(f"`{key}`").alias("_key")) if key else None
+        hit = catalog.parts_of(table, keys=keys, key=key) if key else {}
+        parts = [p for p in table.parts if p not in hit]
+        if hit:
+            part = catalog.write(table, upserted(catalog.read_parts(table, [*hit]), new, key))
             staged.append(part)
-            parts = [part]
-        elif len(parts) > MOST_PARTS:
-            part = catalog.write(table, old.unionByName(new))
+        parts.append(part)
+        if len(parts) > MOST_PARTS:
+            newer = parts[MOST_PARTS // 2 :]
+            part = catalog.write(table, catalog.read_parts(table, newer))
             staged.append(part)
-            parts = [part]
+            parts = [*parts[: MOST_PARTS // 2], part]
     except BaseException:
         for p in staged:
             catalog.drop_part(table, p)
@@ -160,7 +164,8 @@ def update(catalog: Catalog, statement: Update) -> int:
             raise ConstraintError(table.name, {f"type {name}": 1})
     where = filter_column(statement.where, resolve)
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    n = df.where(hit).count()
+    touched = catalog.parts_of(table, where)
+    n = sum(touched.values())
     if not n:
         return 0
     changed = updated(df.where(hit), changes, None)
@@ -173,8 +178,10 @@ def update(catalog: Catalog, statement: Update) -> int:
     for child, c in _children(catalog, table.name):
         if c["references"]["column"] in changes:
             _follow(catalog, state, df.where(hit), child, c, c["references"]["on_update"], changes[c["references"]["column"]])
-    state[table.name] = updated(state.get(table.name, df), changes, where)
-    _publish(catalog, state)
+    if table.name in state:
+        state[table.name] = updated(state[table.name], changes, where)
+    own = [] if table.name in state else [*touched]
+    _publish(catalog, state, table, own, updated(catalog.read_parts(table, own), changes, where))
     return n
 
 
@@ -189,24 +196,30 @@ def delete(catalog: Catalog, statement: Delete) -> int:
     df = catalog.read(table.name)
     where = filter_column(statement.where, _resolve(df, table))
     gone = df if where is None else df.where(where)
-    n = gone.count()
+    touched = catalog.parts_of(table, where)
+    n = sum(touched.values())
     if not n:
         return 0
     state: dict[str, DataFrame] = {}
     for child, c in _children(catalog, table.name):
         _follow(catalog, state, gone, child, c, c["references"]["on_delete"], None)
-    state[table.name] = deleted(state.get(table.name, df), where)
-    _publish(catalog, state)
+    if table.name in state:
+        state[table.name] = deleted(state[table.name], where)
+    own = [] if table.name in state else [*touched]
+    _publish(catalog, state, table, own, deleted(catalog.read_parts(table, own), where))
     return n
 
 
-def _publish(catalog: Catalog, state: dict[str, DataFrame]) -> None:
-    """All the tables that a statement changes, once nothing stands against it: written first, then published."""
-    parts = {name: catalog.write(catalog.table(name), rows) for name, rows in state.items()}
-    for name, part in parts.items():
-        table = catalog.table(name)
-        table.parts = [part]
-        catalog.publish(table)
+def _publish(catalog: Catalog, state: dict[str, DataFrame], table: Table, touched: list[str], rows: DataFrame) -> None:
+    """All that a statement changes, once nothing stands against it, written first and published then: whole tables
+    (state), and of the statement's own table rows in the place of the folders touched."""
+    parts = {name: ([], catalog.write(catalog.table(name), df)) for name, df in state.items()}
+    if touched:
+        parts[table.name] = ([p for p in table.parts if p not in touched], catalog.write(table, rows))
+    for name, (rest, part) in parts.items():
+        own = catalog.table(name)
+        own.parts = [*rest, part]
+        catalog.publish(own)
 
 
 def _follow(catalog: Catalog, state: dict[str, DataFrame], gone: DataFrame, child: Table, c: dict, action: str, new: Column | None) -> None:

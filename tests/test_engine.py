@@ -213,6 +213,28 @@ def test_upsert_is_a_dict(engine):
     assert [r.v for r in engine.lookup("kv", "k", [2, 3]).orderBy("k").collect()] == ["y", "x"]
 
 
+def test_only_touched_folders_are_rewritten(engine, monkeypatch):
+    from brookwell import changes
+
+    engine.execute("create table kv (k int primary key, v string)")
+    for i in range(4):
+        engine.insert_values("kv", [(10 * i, f"a{i}"), (10 * i + 1, f"b{i}")])
+    first = list(engine.catalog.table("kv").parts)
+    engine.insert_values("kv", [(11, "new"), (99, "z")])
+    second = list(engine.catalog.table("kv").parts)
+    assert second[:3] == [first[0], first[2], first[3]] and len(second) == 4
+    engine.execute("update kv set v = 'u' where k = 20")
+    engine.execute("delete from kv where k = 31")
+    assert first[0] in engine.catalog.table("kv").parts and first[2] not in engine.catalog.table("kv").parts
+    want = {0: "a0", 1: "b0", 10: "a1", 11: "new", 99: "z", 20: "u", 21: "b2", 30: "a3"}
+    assert {r.k: r.v for r in engine.execute("select kv").collect()} == want
+    monkeypatch.setattr(changes, "MOST_PARTS", 4)
+    engine.insert_values("kv", [(500, "y")])
+    assert len(engine.catalog.table("kv").parts) == 3 and engine.execute("select kv").count() == 9
+    engine.execute("delete from kv")
+    assert engine.execute("select kv").count() == 0 and engine.execute("delete from kv").first().rows == 0
+
+
 def test_bulk_by_name(engine):
     engine.execute("create table t (a int not null, b string default 'z', j json)")
     assert engine.insert_rows("t", [{"a": 1, "extra": 9}, {"a": 2, "j": {"x": [1, "y"]}}]) == 2
