@@ -6,18 +6,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import clean_rows, map_arrow, pieces
+from .common import RaggedCache, clean_rows, map_arrow, pieces
 
-NONE = np.iinfo(np.int64).max
-#: Pre-tokens of up to this many bytes go in matrices of their length's bucket, and their ids are remembered.
-SHORT, REMEMBERED = 64, 400_000
+NONE = np.iinfo(np.int32).max
+#: Pre-tokens of up to this many bytes go in matrices of their length's bucket; so many pre-tokens are remembered.
+SHORT, REMEMBERED = 64, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,7 +30,7 @@ class PairTable:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         pairs = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() if len(b) > 1 for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self.bits = max(4, (4 * len(pairs)).bit_length())
-        self.keys, self.ids = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
+        self.keys, self.ids = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         left, right, out = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 3
         key = left << 32 | right
         at, todo = self._slot(key), np.arange(len(key))
@@ -49,10 +48,10 @@ class PairTable:
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of merged pairs; NONE where a pair has none or either side is padding (-1)."""
-        out = np.full(left.shape, NONE, np.int64)
+        out = np.full(left.shape, NONE, np.int32)
         todo = np.flatnonzero(((left >= 0) & (right >= 0)).ravel())
         flat = out.ravel()
-        key = (left.ravel()[todo] << 32) | right.ravel()[todo]
+        key = (left.ravel()[todo].astype(np.int64) << 32) | right.ravel()[todo]
         at = self._slot(key)
         while len(todo):
             got = self.keys[at]
@@ -63,6 +62,52 @@ class PairTable:
         return flat.reshape(left.shape)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Splitter:
+    """The public pattern's matches as array operations over many texts.
+
+    Runs of letters, numbers, blanks or others are the matches, but for: of blanks before something else the last one
+    stands alone, or goes with what follows if it is a space; and an apostrophe that begins a run of others takes one of
+    the endings s t re ve m ll d from the letters after it.
+    """
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self) -> None:
+        every = "".join(map(chr, range(0x110000)))
+        self.kind = np.full(0x110000, 3, np.uint8)
+        for k, p in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+            for m in regex.finditer(p, every):
+                self.kind[m.start() : m.end()] = k
+
+    def starts(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where matches start in the code points of texts that begin at begins."""
+        n, kind = len(points), self.kind[points]
+        first = np.zeros(n + 4, bool)
+        first[begins] = True
+        first[n:] = True
+        start = first.copy()
+        start[1:n] |= kind[1:] != kind[:-1]
+        last = np.flatnonzero((kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:n])
+        start[last] = True
+        start[last[points[last] == 32] + 1] = False
+        q = np.flatnonzero((points == 39) & start[:n])
+        after = np.r_[points, np.zeros(3, points.dtype)]
+        a, b = after[q + 1], after[q + 2]
+        here = ~first[q + 1]
+        one = q[here & np.isin(a, [ord(c) for c in "stmd"])]
+        start[one + 1], start[one + 2] = False, True
+        two = here & ~first[q + 2] & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))
+        two = q[two]
+        start[two + 1], start[two + 2], start[two + 3] = False, False, True
+        return np.flatnonzero(start[:n])
+
+
 class ByteBPE:
     """Encodes and decodes like the ranks' byte-pair encoding; made once a worker."""
 
@@ -71,25 +116,25 @@ class ByteBPE:
         for b, r in ranks.items():
             self.bytes_of[r] = b
         self.names = [str(i) for i in range(len(self.bytes_of))]
-        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.ranks, self.pairs, self.split = ranks, PairTable(ranks), regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.ranks, self.pairs, self.split = ranks, PairTable(ranks), regex.compile(pattern).finditer
+        self.splitter = Splitter() if pattern == Splitter.PATTERN else None
+        self.cache = RaggedCache(REMEMBERED)
 
-    def _matrix(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
+    def _matrix(self, tokens: list[bytes]) -> list[list[int]]:
         """Ids of tokens of like length: in each round every row merges its leftmost pair of least rank."""
-        width = max(map(len, tokens))
-        ids = np.full((len(tokens), width), -1, np.int64)
-        for i, t in enumerate(tokens):
-            ids[i, : len(t)] = self.byte_ids[np.frombuffer(t, np.uint8)]
-        out: list[tuple[int, ...]] = [()] * len(tokens)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ids = np.full((len(tokens), int(sizes.max())), -1, np.int32)
+        ids[np.arange(ids.shape[1]) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(tokens), np.uint8)]
+        out: list[list[int]] = [[]] * len(tokens)
         rows = np.arange(len(tokens))
         ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])
         while True:
             at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
-            least = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE)
+            least = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE, np.int32)
             done = least == NONE
-            for r, own in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
-                out[r] = tuple(x for x in own if x >= 0)
+            for r, own, n in zip(rows[done].tolist(), ids[done].tolist(), (ids[done] >= 0).sum(1).tolist(), strict=True):
+                out[r] = own[:n]
             if done.all():
                 return out
             rows, ids, ranks, at, least = rows[~done], ids[~done], ranks[~done], at[~done], least[~done]
@@ -106,7 +151,7 @@ class ByteBPE:
             used = int((ids >= 0).sum(1).max())
             ids, ranks = ids[:, :used], ranks[:, : max(used - 1, 0)]
 
-    def _long(self, token: bytes) -> tuple[int, ...]:
+    def _long(self, token: bytes) -> list[int]:
         """One long token: a round merges all places of the least pair from left to right. That is what leftmost-first
         does unless a merged place makes a pair of lesser rank with what stands beside it at that time; then only the
         leftmost place is merged."""
@@ -117,8 +162,8 @@ class ByteBPE:
             # of overlapping places (a run of one symbol) every other one is merged
             run = np.cumsum(np.r_[True, np.diff(at) > 1])
             at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
-            merged = np.full(len(at), least)
-            after = np.r_[ids, -1, -1][at + 2]
+            merged = np.full(len(at), least, np.int32)
+            after = np.r_[ids, np.int32(-1), np.int32(-1)][at + 2]
             before = np.where(np.r_[False, np.diff(at) == 2], least, np.r_[-1, ids][at])
             if min(self.pairs.find(merged, after).min(), self.pairs.find(before, merged).min()) < least:
                 at = at[:1]
@@ -128,16 +173,16 @@ class ByteBPE:
             ids[at] = least
             ids = ids[keep]
             ranks = self.pairs.find(ids[:-1], ids[1:])
-        return tuple(ids.tolist())
+        return ids.tolist()
 
-    def encode_tokens(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
+    def encode_tokens(self, tokens: list[bytes]) -> list[list[int]]:
         """Ids of each token; buckets of powers of two keep padding below half."""
-        out: list[tuple[int, ...]] = [()] * len(tokens)
+        out: list[list[int]] = [[]] * len(tokens)
         buckets: dict[int, list[int]] = {}
         for i, t in enumerate(tokens):
             whole = self.ranks.get(t)
             if whole is not None:
-                out[i] = (whole,)
+                out[i] = [whole]
             elif len(t) > SHORT:
                 out[i] = self._long(t)
             elif t:
@@ -149,19 +194,36 @@ class ByteBPE:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, each match of the pattern on its own."""
-        split = [self.split(t) for t in texts]
-        fresh = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = [*dict.fromkeys(chain.from_iterable(split))]
-        self.known.update(zip(fresh, self.encode_tokens([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
-        get = self.known.__getitem__
-        out = [[*chain.from_iterable(map(get, words))] for words in split]
-        for w in fresh:
-            if len(w) > SHORT:
-                del self.known[w]
-        return out
+        """Ids of each text, each match of the pattern on its own. Distinct matches (told apart by 64-bit hashes of
+        their code points) are encoded once as long as they are remembered."""
+        joined = "".join(texts)
+        if not joined:
+            return [[] for _ in texts]
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.cumsum([0, *map(len, texts)])
+        if self.splitter:
+            start = self.splitter.starts(points, edges[:-1][edges[:-1] < len(points)])
+            end = np.r_[start[1:], len(points)]
+        else:
+            found = [(a + m.start(), a + m.end()) for a, t in zip(edges.tolist(), texts, strict=False) for m in self.split(t)]
+            start, end = np.array(found, np.int64).reshape(-1, 2).T
+        size = end - start
+        start, end, size = start[size > 0], end[size > 0], size[size > 0]
+        if not len(start):
+            return [[] for _ in texts]
+        with np.errstate(over="ignore"):
+            own = np.repeat(start, size)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            h = _mixed(points[own + at].astype(np.uint64) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            h = np.add.reduceat(h, np.cumsum(size) - size)
+
+        def learn(words: list[str]) -> list[list[int]]:
+            return self.encode_tokens([w.encode("utf-8", "surrogatepass") for w in words])
+
+        ids, n = self.cache.ids(h, lambda i: joined[start[i] : end[i]], learn)
+        upto = np.r_[0, np.cumsum(n)][np.searchsorted(start, edges)].tolist()
+        ids = ids.tolist()
+        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -188,7 +250,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
         bpe = _coder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 coded = bpe.encode([t or "" for t in part.column("text").to_pylist()])
                 if output == "ids":
                     yield {"id": part.column("id"), "ids": coded}

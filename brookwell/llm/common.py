@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +85,7 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, kind)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut so that the column's bytes in each piece stay near most (one row may be larger)."""
     if not batch.num_rows:
         return
@@ -161,3 +162,43 @@ def blocked(df: DataFrame, group: str, size: str, member: str, block: int) -> Da
         .withColumn("bi", F.least("_own", "_other")).withColumn("bj", F.greatest("_own", "_other"))
         .drop("_nb", "_own", "_other")
     )
+
+
+class RaggedCache:
+    """Arrays of ids by 64-bit hashes, in flat storage; all are forgotten when there are more than most."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.known: dict[int, int] = {}
+        self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def ids(self, hashes, item: Callable, learn: Callable):
+        """(ids of all items in a row, number of ids of each) for items with these hashes. What isn't known is asked
+        for at once: learn(list of items), where item(i) gives the i-th one."""
+        import numpy as np
+
+        if len(self.known) > self.most:
+            self._forget()
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        found = [*map(self.known.get, distinct.tolist())]
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            parts = learn([item(i) for i in first[new].tolist()])
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            start = len(self.at)
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.size = np.concatenate((self.size, sizes))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))))
+            for n, i in enumerate(new):
+                found[i] = start + n
+            self.known.update(zip(distinct[new].tolist(), range(start, start + len(new)), strict=True))
+        index = np.array(found, np.int64)[back]
+        n = self.size[index]
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.repeat(self.at[index] - upto + n, n) + np.arange(total)], n

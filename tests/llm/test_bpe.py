@@ -43,7 +43,7 @@ def test_small_vocabulary_against_plain_merging():
                 if least == 1 << 60:
                     break
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return tuple(ranks[p] for p in parts)
+            return [ranks[p] for p in parts]
 
         for n in (3, 20, 60, 150):
             data = bytes(rng.choice(b"abc") for _ in range(n))
