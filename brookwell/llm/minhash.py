@@ -31,7 +31,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered while there are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -94,6 +94,8 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 AGREE = 66
 #: Members of a block in a large bucket of sketches, and in a large candidate cluster of full sets.
 SKETCH_BLOCK, SET_BLOCK = 4096, 256
+#: Members of a large cluster that meet one copy of its first vertex's set.
+STAR = 4096
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -106,15 +108,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def forest(ids: np.ndarray, marks: np.ndarray, agree: int, sets: list[np.ndarray] | None = None, percent: int = 75) -> list[tuple[int, int]]:
+def forest(ids: np.ndarray, marks: np.ndarray, agree: int, sets: list[np.ndarray] | None = None, percent: int = 75, one: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph in which rows with enough equal marks (and, given sets, a link) are joined.
 
-    Breadth first: a row is only compared with rows that no tree has yet, so a group of like rows takes one pass.
+    Breadth first: a row is only compared with rows that no tree has yet, so a group of like rows takes one pass. Rows
+    of `one` are in one tree from the start, by edges from elsewhere.
     """
     out: list[tuple[int, int]] = []
-    left = np.arange(len(ids))
+    left = np.arange(len(ids)) if one is None else np.flatnonzero(~one)
+    queue = [] if one is None else np.flatnonzero(one).tolist()
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
             near = (marks[left] == marks[x]).sum(1) >= agree
@@ -136,7 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        band keys. Texts of one digest are one vertex, so copies cost a row, not pairs.
     2. Vertices that share a band key are compared by sketch, large buckets in pairs of blocks; what agrees enough
        forms candidate clusters (components over a spanning forest of each bucket).
-    3. Within each cluster all pairs not yet joined are verified on the full sets, again in pairs of blocks.
+    3. Links are verified on the full sets: in a large cluster first with its first vertex, then whatever that leaves
+       open with all of the cluster, in pairs of blocks; in a small one all pairs not yet joined.
     4. Components of the verified links.
 
     Null or blank texts have empty sets and are linked with nothing. Rows with equal texts share a component whatever
@@ -203,8 +209,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = part.take(pa.array(own, pa.int64()))
                 yield {"root": part.column("root"), "n": part.column("n"), "vid": part.column("vid"), "marks": [m.tobytes() for m in marks], "shingles": [sets[i].tobytes() for i in own]}
 
-    full = blocked(map_arrow(texts, whole, "root long, n long, vid long, marks binary, shingles binary"), "root", "n", "vid", SET_BLOCK)
-    full = full.select("root", "bi", "bj", "vid", "marks", "shingles")
+    kind = "root long, n long, vid long, marks binary, shingles binary"
+    full = materialize(map_arrow(texts, whole, kind), "sets")
+
+    # Large clusters: each set against that of the cluster's first vertex, which goes to as many tasks as need be.
+    large = full.where(F.col("n") > SET_BLOCK)
+    parts = F.ceil(F.col("n") / F.lit(STAR)).cast("int")
+    hubs = large.where("vid = root").dropDuplicates(["vid"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("hub", F.lit(True))
+    rays = large.withColumn("part", F.pmod(F.xxhash64("vid"), parts).cast("int")).withColumn("hub", F.lit(False))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        at, hub = None, np.empty(0, np.uint64)
+        for batch in batches:
+            roots, hubs_here, shingles = batch.column("root").to_pylist(), batch.column("hub").to_pylist(), batch.column("shingles").to_pylist()
+            own = [i for i, h in enumerate(hubs_here) if not h]
+            closed = []
+            for root, is_hub, x in zip(roots, hubs_here, shingles, strict=True):
+                if is_hub:
+                    at, hub = root, np.frombuffer(x, np.uint64)
+                else:
+                    closed.append(root == at and linked(hub, np.frombuffer(x, np.uint64), percent))
+            part = batch.take(pa.array(own, pa.int64()))
+            yield {**{c: part.column(c) for c in ("root", "n", "vid", "marks", "shingles")}, "closed": closed}
+
+    met_hub = rays.unionByName(hubs).repartition("root", "part").sortWithinPartitions("root", "part", F.desc("hub"))
+    star = materialize(map_arrow(met_hub, meet, kind + ", closed boolean"), "star")
+
+    # What the star leaves open meets everything of its cluster, block by block; what it closed needn't meet its like.
+    rest = star.where(~F.col("closed")).groupBy("root").agg(F.countDistinct("vid").alias("n_open"))
+    opens, alls = F.ceil(F.col("n_open") / F.lit(SET_BLOCK)).cast("int"), F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int") + 1
+    rest = star.join(rest, "root").withColumn("opens", opens).withColumn("alls", F.col("opens") + alls)
+    mine = F.when(F.col("closed"), F.col("opens") + F.pmod(F.xxhash64("vid"), F.col("alls") - F.col("opens"))).otherwise(F.pmod(F.xxhash64("vid"), F.col("opens"))).cast("int")
+    other = F.when(F.col("closed"), F.sequence(F.lit(0), F.col("opens") - 1)).otherwise(F.sequence(F.lit(0), F.col("alls") - 1))
+    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(other)).select("root", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "vid", "marks", "shingles", "closed")
+    small = full.where(F.col("n") <= SET_BLOCK).select("root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "vid", "marks", "shingles", F.lit(False).alias("closed"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, cut in runs(batches, "root", "bi", "bj"):
@@ -214,10 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 own = batch.slice(s, e - s)
                 marks = np.frombuffer(b"".join(own.column("marks").to_pylist()), np.uint8).reshape(e - s, -1)
                 sets = [np.frombuffer(x, np.uint64) for x in own.column("shingles").to_pylist()]
-                edges += forest(ids[s:e], marks, AGREE, sets, percent)
+                closed = own.column("closed").to_numpy(zero_copy_only=False)
+                if not closed.all():
+                    edges += forest(ids[s:e], marks, AGREE, sets, percent, closed if closed.any() else None)
             yield {"a": [x for x, _ in edges], "b": [y for _, y in edges]}
 
-    checked = map_arrow(full.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "vid"), verify, "a long, b long")
+    blocks = small.unionByName(rest).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "vid")
+    checked = map_arrow(blocks, verify, "a long, b long").unionByName(star.where("closed").select(F.col("root").alias("a"), F.col("vid").alias("b")))
     joined = components(checked)
 
     at = reps.select("vid", "sid", "rep").join(joined.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from brookwell.llm import graph, minhash
 
@@ -26,11 +27,13 @@ def test_groups_are_exact(spark):
         assert got == expected(rows)
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("seed", [4, 5])
+def test_large_groups_in_blocks(spark, monkeypatch, seed):
     """Near copies in more than one block, in buckets and in clusters."""
     monkeypatch.setattr(minhash, "SKETCH_BLOCK", 8)
     monkeypatch.setattr(minhash, "SET_BLOCK", 4)
-    rng = random.Random(4)
+    monkeypatch.setattr(minhash, "STAR", 7)
+    rng = random.Random(seed)
     base = words(rng, 80).split()
     rows = []
     for i in range(60):
@@ -42,6 +45,17 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == expected(rows)
 
 
+def test_chain_of_edits(spark, monkeypatch):
+    """Each text is near the next alone: most of the cluster stays open after the star."""
+    monkeypatch.setattr(minhash, "SET_BLOCK", 4)
+    w, rows = words(random.Random(6), 100, 10_000).split(), []
+    for i in range(40):
+        w[(2 * i) % 100] = f"z{i}"
+        rows.append((i, " ".join(w), "en", "a", 0))
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in minhash.near_duplicates(table(spark, rows)).collect())
+    assert got == expected(rows) and {r[2] for r in map(eval, got)} == {0}
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(table(spark, [])).collect() == []
 
