@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import clean_rows, map_arrow, materialize, pieces, runs
 
 #: Bytes of an anchor; must be a power of two below the length of a repeated string.
 ANCHOR = 128
+#: Places of one anchor with contexts of their own beyond which their windows are compared by hashes, as a stream.
+WIDE = 20_000
 _SYMBOLS = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -242,7 +245,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Stages: (1) each task finds its anchors and sends packed arrays of (anchor, context, place) to the anchor's bucket;
     equal contexts within a task send one witness. (2) Buckets tell which contexts are repeated; of anchors with more
     than one context, the places with a context of their own ask for detail. (3) Their texts send these contexts.
-    (4) Contexts of an anchor are sorted deep-shallow; what windows are repeated follows. (5) Texts take the spans in.
+    (4) Contexts of an anchor are sorted deep-shallow; what windows are repeated follows; the windows of an anchor with
+    more than WIDE contexts are compared by 128-bit hashes instead, as a sorted stream. (5) Texts take the spans in.
     Texts are dealt out once, by a hash of the text, a copy a task at most, and both (3) and (5) read that exchange.
     """
     spark = docs.sparkSession
@@ -317,7 +321,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = np.zeros(len(rest), ASK)
                 for c in ("head", "ctx", "doc", "pos"):
                     out[c] = rest[c]
-                out["own"] = ~many[ask]
+                out["own"] = ~many[ask] + 2 * np.repeat(np.add.reduceat(ask.astype(np.int64), head) > WIDE, classes)[ask]
                 yield columns([*packed(full, "doc", 1), *packed(out, "doc", 2)])
 
     judged = map_arrow(found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "sort"), judge, blob_kind)
@@ -357,32 +361,67 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield k1, k2, data, own
 
     def ask(left: pa.Table, blob: bytes) -> dict:
-        out: dict[str, list] = {c: [] for c in ("head", "ctx", "doc", "pos", "own", "lefts", "rights")}
+        """Contexts, or of places with a very common anchor the hashes of all windows that hold it (window: its offset)."""
+        out: dict[str, list] = {c: [] for c in ("window", "head", "ctx", "doc", "pos", "own", "lefts", "rights")}
         done: set[tuple[int, int]] = set()
+
+        def put(*row) -> None:
+            for c, v in zip(out, row, strict=True):
+                out[c].append(v)
+
         for k1, k2, data, own in each(left, np.frombuffer(blob, ASK)):
             if (k1, k2) in done:
                 continue
             done.add((k1, k2))
             for r in own:
-                p = int(r["pos"])
-                for c, v in (("head", int(r["head"].view(np.int64))), ("ctx", int(r["ctx"].view(np.int64))), ("doc", k1), ("pos", p), ("own", int(r["own"])), ("lefts", data[max(0, p - span) : p][::-1]), ("rights", data[p + ANCHOR : p + ANCHOR + span])):
-                    out[c].append(v)
+                p, ctx, mine = int(r["pos"]), int(r["ctx"].view(np.int64)), int(r["own"]) & 1
+                if r["own"] < 2:
+                    put(-1, int(r["head"].view(np.int64)), ctx, k1, p, mine, data[max(0, p - span) : p][::-1], data[p + ANCHOR : p + ANCHOR + span])
+                    continue
+                for o in range(max(0, p + length - len(data)), min(span, p) + 1):
+                    digest = xxhash.xxh3_128_digest(data[p - o : p - o + length], o)  # by offset: else a place meets itself
+                    put(o, int.from_bytes(digest[:8], "little", signed=True), ctx, k1, p, mine, digest[8:], b"")
         return out
 
-    contexts = joined(2, judged, ask, "head long, ctx long, doc long, pos long, own int, lefts binary, rights binary")
+    contexts = joined(2, judged, ask, "window int, head long, ctx long, doc long, pos long, own int, lefts binary, rights binary")
+
+    def spans_of(batch: pa.RecordBatch, hit: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
+        out = np.zeros(int(hit.sum()), FULL)
+        for c in ("ctx", "doc", "pos"):
+            own = batch.column(c).to_numpy()[hit]
+            out[c] = own.view(np.uint64) if c == "ctx" else own
+        out["start"], out["end"] = start[hit], end[hit]
+        return columns(packed(out, "doc", 1))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, _ in runs(batches, "head"):
-            head, own = batch.column("head").to_numpy(), batch.column("own").to_numpy() == 1
+        batches, wide = iter(batches), []
+
+        def narrow() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = int(np.searchsorted(batch.column("window").to_numpy() >= 0, True))
+                yield batch.slice(0, k)
+                if k < batch.num_rows:
+                    wide.append(batch.slice(k))
+                    return
+
+        for batch, _ in runs(narrow(), "head"):
+            head, pos = batch.column("head").to_numpy(), batch.column("pos").to_numpy()
             far, near = reach(head.view(np.uint64), batch.column("lefts").to_pylist(), batch.column("rights").to_pylist(), span)
-            hit = own & (far >= 0)
-            out = np.zeros(int(hit.sum()), FULL)
-            pos = batch.column("pos").to_numpy()[hit]
-            out["ctx"], out["doc"], out["pos"] = batch.column("ctx").to_numpy()[hit].view(np.uint64), batch.column("doc").to_numpy()[hit], pos
-            out["start"], out["end"] = pos - far[hit], pos - near[hit] + length
-            yield columns(packed(out, "doc", 1))
-
-    partial = map_arrow(contexts.repartition(buckets, "head").sortWithinPartitions("head"), order, blob_kind)
+            yield spans_of(batch, (batch.column("own").to_numpy() == 1) & (far >= 0), pos - far, pos - near + length)
+        # windows come in the order of their hashes: each is held against its neighbours, the last one is carried over
+        last, matched = None, False
+        for batch in chain(wide, batches):
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            head, rest = batch.column("head").to_numpy(), batch.column("lefts").to_pylist()
+            same = (head[1:] == head[:-1]) & np.fromiter((a == b for a, b in zip(rest[1:], rest[:-1], strict=True)), bool, len(head) - 1)
+            hit = np.r_[matched, same] | np.r_[same, False]
+            last, matched = batch.slice(batch.num_rows - 1), bool(hit[-1])
+            start = batch.column("pos").to_numpy() - batch.column("window").to_numpy()
+            yield spans_of(batch, hit & (batch.column("own").to_numpy() == 1), start, start + length)
+
+    by = contexts.repartition(buckets, "head").sortWithinPartitions(F.col("window") >= 0, "head", "lefts")
+    partial = map_arrow(by, order, blob_kind)
 
     def cut(left: pa.Table, blob: bytes) -> dict:
         out: dict[str, list] = {c: [] for c in ("k1", "k2", "n_bytes", "spans", "kept_sha256", *["kept"] * keep_bytes)}

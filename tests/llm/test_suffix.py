@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,8 +33,11 @@ def test_spans_are_exact(spark):
     check(spark, corpus(3, 30))
 
 
-def test_edges_of_shared_passages(spark):
-    """Passages with more or less of their surroundings in common, cut off by documents' ends, periodic, copied."""
+@pytest.mark.parametrize("wide", [20_000, 1])
+def test_edges_of_shared_passages(spark, monkeypatch, wide):
+    """Passages with more or less of their surroundings in common, cut off by documents' ends, periodic, copied; by
+    sorted contexts and by streamed windows."""
+    monkeypatch.setattr(suffix, "WIDE", wide)
     rng = random.Random(6)
 
     def noise(n):
