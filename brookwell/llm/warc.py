@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ def base32(digest: bytes) -> str:
 
 
 def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", chunk: int = CHUNK) -> DataFrame:
-    """rid, page_id, url, chunk_no, data, digest (SHA-1 of the payload so far), check (of another kind), done (bytes so
-    far), last: a row for each chunk of a page's payload, one row with no data for an empty one.
+    """rid, page_id, url, chunk_no, data (a zstd frame), digest (SHA-1 of the payload so far), check (of another kind),
+    done (bytes so far), last: a row for each chunk of a page's payload, one row with an empty frame for an empty one.
 
     rid is unique in the table as it is written; chunks are cut from the text, so a payload is never encoded whole.
     """
@@ -39,6 +40,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rid = TaskContext.get().partitionId() << 33
+        pack = zstandard.ZstdCompressor(level=1).compress
         rows: list[tuple] = []
         held = 0
         for batch in batches:
@@ -50,7 +52,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     sha.update(data)
                     check.update(data)
                     done += len(data)
-                    rows.append((rid, page_id, url, no, data, base32(sha.digest()), check.digest(), done, at + chunk >= len(text)))
+                    rows.append((rid, page_id, url, no, pack(data), base32(sha.digest()), check.digest(), done, at + chunk >= len(text)))
                     held += len(data)
                     if held > 8 << 20:
                         yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
@@ -134,6 +136,7 @@ def write_archives(chunks: DataFrame, of: DataFrame, archive: int = ARCHIVE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         made: list[tuple[str, int]] = []
+        unpack = zstandard.ZstdDecompressor().decompress
         out: ArchiveWriter | None = None
         for batch in batches:
             for i in range(batch.num_rows):
@@ -146,7 +149,7 @@ def write_archives(chunks: DataFrame, of: DataFrame, archive: int = ARCHIVE) ->
                     out = out or ArchiveWriter(f"{folder}/{uuid.uuid4().hex}.warc.gz")
                     out.begin(r["rid"], r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_rid"], r["refers_to"])
                 if r["data"]:
-                    out.write(r["data"])
+                    out.write(unpack(r["data"]))
                 if r["last"] or r["record_type"] == "revisit":
                     out.end()
         if out:
