@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, minhash, mixing, pii, rules, sst, suffix, topk, warc
+from . import bpe, gam, minhash, mixing, oracles, pii, rules, sst, suffix, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express on whole tables; the others have brute-force tests in tests/llm."""
-    return {}
+    return {"op3_minhash": oracles.OP3, "op4_topk": oracles.OP4, "op9_suffix": oracles.OP9, "op10_warc": oracles.OP10}
