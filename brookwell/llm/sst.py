@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_rows, fresh_dir, map_arrow, materialize, open_read, open_write, pieces
+from .common import RaggedCache, clean_rows, fresh_dir, map_arrow, materialize, open_read, open_write, pieces
 
 MAGIC = b"BWSST\x00\x01\n"
 FOOTER = struct.Struct("<QQQQQI8s")  # index at, index bytes, bloom at, bloom bytes, documents, hashes, magic
@@ -162,62 +162,40 @@ class ChunkEncoder:
     random table. A text with a special token's name in it goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        self.encode, self.most = library.encode_batch_fast, most
+        self.encode, self.cache = library.encode_batch_fast, RaggedCache(most)
         self.special = [t.content.lower().encode() for t in library.get_added_tokens_decoder().values()]
         self.ends = np.zeros(library.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
-        self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
+    def _learn(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks. Those of Latin letters alone go to the library as lines of many: each is one pre-token, whose
         last id, and no other, is marked as a word's end. Below U+0250 nothing composes, and lower case goes letter by
         letter but for one capital."""
-        out: list[np.ndarray] = [None] * len(chunks)
+        out: list[list[int]] = [[]] * len(chunks)
         plain = [k for k, c in enumerate(chunks) if c.isalpha() and max(c) < "\u0250" and "\u0130" not in c]
         alone = {*range(len(chunks))} - {*plain}
         rows = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
         for own, e in zip(rows, self.encode([" ".join(map(chunks.__getitem__, r)) for r in rows], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ids, start = e.ids, 0
+            ends = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist()
             if len(ends) != len(own):
                 alone |= {*own}
                 continue
-            for k, part in zip(own, np.split(ids, ends[:-1]), strict=True):
-                out[k] = part
+            for k, end in zip(own, ends, strict=True):
+                out[k], start = ids[start:end], end
         rest = sorted(alone)
         for i in range(0, len(rest), 4096):
             own = rest[i : i + 4096]
             for k, e in zip(own, self.encode([chunks[k] for k in own], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, np.uint32)
+                out[k] = e.ids
         return out
 
-    def _indexes(self, hashes: np.ndarray, chunk_of) -> np.ndarray:
-        """Places in at and size for distinct hashes; chunk_of(i) gives the i-th one's chunk."""
-        found = [*map(self.known.get, hashes.tolist())]
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            parts = self._learn([chunk_of(i) for i in new])
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            first = len(self.at)
-            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.size, self.flat = np.concatenate((self.size, sizes)), np.concatenate((self.flat, *parts))
-            for n, i in enumerate(new):
-                found[i] = first + n
-            self.known.update(zip(hashes[new].tolist(), range(first, first + len(new)), strict=True))
-        return np.array(found, np.int64)
-
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit integers."""
-        if len(self.known) > self.most:
-            self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or offsets[0] == offsets[-1]:
@@ -240,12 +218,9 @@ class ChunkEncoder:
         raw = folded.tobytes()
         for w in np.flatnonzero(size > _PLACES).tolist():
             h[w] = xxhash.xxh3_64_intdigest(raw[start[w] : start[w] + size[w]])
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        index = self._indexes(distinct, lambda i: raw[start[first[i]] : start[first[i]] + size[first[i]]].decode("utf-8", "surrogatepass"))[back]
-        n = self.size[index]
-        upto = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[index] - upto + n, n) + np.arange(upto[-1])].astype("<u4").tobytes()
-        edges = np.r_[0, upto][np.searchsorted(np.flatnonzero(begin), offsets)].tolist()
+        flat, n = self.cache.ids(h, lambda i: raw[start[i] : start[i] + size[i]].decode("utf-8", "surrogatepass"), self._learn)
+        ids = flat.astype("<u4").tobytes()
+        edges = np.r_[0, np.cumsum(n)][np.searchsorted(np.flatnonzero(begin), offsets)].tolist()
         out = [ids[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         low = _FOLD[data].tobytes()
         if any(t in low for t in self.special):
@@ -285,7 +260,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
         coder = _encoder(path or public_tokenizers.path("word_bpe_49k.json"))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 ids = part.column("doc_id")
                 known = np.array([-(1 << 63) if i is None else i for i in ids.to_pylist()], np.int64)
                 yield {"shard": np.searchsorted(bounds, known, "left").astype(np.int32), "doc_id": ids, "ids": [x + end for x in coder(part.column("text"))]}
