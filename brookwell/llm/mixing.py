@@ -10,7 +10,7 @@ from .common import WORD, clean_rows, materialize
 #: Fixed values of the mix: the sources' weights in turn, and how often a source may be repeated at most.
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3.0
 #: Documents of a stretch of keys of a source, within which one task makes the exact running sum.
-STRETCH = 20_000
+STRETCH = 4_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = REPEATS) -> DataFrame:
@@ -35,6 +35,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return s.select("source", "source_size", "n", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).cast("double").alias("target"))
 
 
+def row_keys(doc_id: str, text: str, seed: int = 17) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's id and text, never null: what a mixed row and its document are matched by."""
+    return F.xxhash64(doc_id, text), F.xxhash64(text, doc_id, F.lit(seed))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -46,10 +51,12 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = REPEATS, seed: int = 17, weight: Column | None = None) -> DataFrame:
-    """Per document: id, source, size, source_size, target, copies (times that the mix holds it), taken = copies * size.
+    """Per document: id, source, size, source_size, target, copies (times that the mix holds it), taken = copies * size,
+    and k1, k2 (see row_keys).
 
     Each document has the key -ln(u) / weight with u from a hash of seed, id and text; each source takes its whole
-    epochs first, then documents in the order of their keys until the running sum of sizes comes nearest to the rest.
+    epochs first, then documents in the order of their keys as long as the running sum of sizes stays within the rest,
+    then the one document left over whose size comes nearest to what is missing, if that makes the miss smaller.
     Sizes count words; a null text has size 0. Ties of keys (repeated rows) go by row; reruns agree up to which of
     several equal rows it is. Null ids and sources are values of their own. Other columns are ignored; an empty
     table gives an empty result.
@@ -60,7 +67,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = clean_rows(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
     size = word_count(F.col("text"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    d = d.select("doc_id", "source", size.alias("size"), (-F.log(u) / (quality_weight(F.col("text"), size) if weight is None else weight)).alias("key"))
+    d = d.select("doc_id", "source", *(k.alias(n) for k, n in zip(row_keys("doc_id", "text"), ("k1", "k2"), strict=True)), size.alias("size"), (-F.log(u) / (quality_weight(F.col("text"), size) if weight is None else weight)).alias("key"))
     d = materialize(d.withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     plan = plan.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -76,6 +83,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t"))).drop("s", "t")
     within = Window.partitionBy("source", "stretch").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("sum", F.col("before") + F.sum("size").over(within))
-    drawn = (F.col("rest") > 0) & (F.col("sum") - F.col("size") / 2 < F.col("rest")) & (F.col("size") > 0)
+    d = materialize(d.withColumn("whole", (F.col("sum") <= F.col("rest")) & (F.col("size") > 0)).drop("before"), "drawn")
+    # what the whole documents leave of a source's rest goes to the one left over that comes nearest to it, if any does
+    gaps = d.groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0))).alias("gap"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    left = d.where("not whole and size > 0 and rest > 0").join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    last = left.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "row")).alias("last")).select(F.col("source").alias("s"), F.col("last.row").alias("last"))
+    d = d.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    drawn = F.col("whole") | F.coalesce(F.col("row") == F.col("last"), F.lit(False))
     copies = (F.col("epochs") + F.when(drawn, 1).otherwise(0)).cast("int")
-    return d.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
+    return d.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "k1", "k2")
