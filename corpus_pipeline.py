@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brookwell.llm import bpe, gam, minhash, mixing, pii
@@ -21,9 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest doc_id, once if its row is repeated."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
+    found = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).join(kept, ["_id", "_null"], "left_semi")
+    # the window's key begins with the join's, so rows aren't dealt anew
+    first = Window.partitionBy("_id", "_null", F.xxhash64("text")).orderBy(F.lit(0))
+    return found.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +35,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix holds it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix holds it; copies of rows that are repeated are dealt evenly among them."""
+    copies = mixing.mix(docs).groupBy("k1", "k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    out = docs.withColumns(dict(zip(("k1", "k2"), mixing.row_keys("doc_id", "text"), strict=True))).join(copies, ["k1", "k2"])
+    row = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    out = out.withColumn("_row", row).withColumn("_own", F.floor((F.col("_copies") - F.col("_row") + F.col("_rows")) / F.col("_rows")).cast("int"))
+    return out.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
