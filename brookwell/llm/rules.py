@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import lgamma, log, log1p
 
 import numpy as np
@@ -110,26 +112,36 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, most: float, delta: float,
     return at
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, most: float, delta: float, id_col: str, label_col: str) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> cutoff. Bonferroni: delta is shared by all pairs of a stratum and a rule.
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, most: float, delta: float, id_col: str, label_col: str) -> dict[tuple[str | None, str], int]:
+    """(stratum, rule) -> the bin to cut at, from documents that pass the base. The rules come in turn: each is tested
+    on all good documents, and chosen by the bad ones that no rule before it rejects.
 
-    What comes to the driver is a count per stratum, rule, bin and label, so strata should be few (languages); a stratum
-    without enough labelled good documents for any certificate gets no cutoff, so its documents are never rejected.
+    Bonferroni: delta is shared by all pairs of a stratum and a rule. What comes to the driver is a count per stratum,
+    bin and label, rule by rule, so strata should be few (languages); a stratum without enough labelled good documents
+    for any certificate gets no cutoff, so nothing but the base rejects its documents.
     """
     one = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_good")).where("_id is not null and _good is not null").groupBy("_id").agg(F.min("_good").alias("_good"))
-    held = measured.join(one, F.col(id_col) == F.col("_id"))
-    bins = F.array(*[F.struct(F.lit(r.name).alias("rule"), bin_of(r).alias("bin")) for r in RULES])
-    held = held.select(F.col(stratum).alias("s"), (F.col("_good") >= 1).alias("good"), F.explode(bins).alias("b")).groupBy("s", "good", "b.rule", "b.bin").agg(F.count("*").alias("n"))
-    counts: dict[tuple, np.ndarray] = {}
-    for s, good, rule, b, n in held.collect():
-        counts.setdefault((s, rule), np.zeros((2, 1 + max(r.bins for r in RULES)), np.int64))[int(good), b] += n
-    out = {}
-    for (s, rule), (bad, good) in sorted(counts.items(), key=str):
-        if (at := choose_cutoff(good, bad, most, delta / max(1, len(counts)))) is not None:
-            out[s, rule] = at
+    held = measured.where(~base_fails()).join(one, F.col(id_col) == F.col("_id"))
+    held = materialize(held.select(F.col(stratum).alias("s"), (F.col("_good") >= 1).alias("good"), *MEASURES), "held")
+    strata = [r[0] for r in held.select("s").distinct().collect()]
+    out: dict[tuple[str | None, str], int] = {}
+    for rule in RULES:
+        caught = [F.col("s").eqNullSafe(F.lit(s)) & (bin_of(r) >= out[s, r.name]) for r in RULES for s in strata if (s, r.name) in out]
+        rest = held.where(F.col("good") | ~reduce(operator.or_, caught, F.lit(False)))
+        counts = {s: np.zeros((2, 1 + rule.bins), np.int64) for s in strata}
+        for s, good, at, n in rest.groupBy("s", "good", bin_of(rule).alias("bin")).count().collect():
+            counts[s][int(good), at] += n
+        for s, (bad, good) in counts.items():
+            if (cut := choose_cutoff(good, bad, most, delta / (len(strata) * len(RULES)))) is not None:
+                out[s, rule.name] = cut
     return out
 
 
+def base_fails() -> Column:
+    """Fewer than ten words, or over a fifth of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def bin_of(rule: Rule) -> Column:
     top, low = rule.ratio.split(" / ")
     return F.least(F.floor(F.when(F.col(low) > 0, F.col(top) * rule.steps / F.col(low)).otherwise(0.0)), F.lit(rule.bins)).cast("int")
@@ -159,6 +171,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     measured = materialize(map_arrow(d, run, kind), "measures")
     found = cutoffs(measured, clean_rows(labels, id_col, label_col).withColumnRenamed(id_col, "id"), "stratum", most, delta, "id", label_col)
     failed = [F.when(F.col("stratum").eqNullSafe(F.lit(s)) & (bin_of(r) >= found[s, r.name]), F.lit(r.name)) for r in RULES for s in sorted({s for s, name in found if name == r.name}, key=str)]
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = measured.withColumn("base_failed", base).withColumn("failed_rule", F.coalesce(*failed, F.lit(None).cast("string")))
+    out = measured.withColumn("base_failed", base_fails()).withColumn("failed_rule", F.coalesce(*failed, F.lit(None).cast("string")))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).withColumnsRenamed({"id": id_col, "stratum": stratum_col})
