@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The characters that a column name can't keep.
-SPECIALS = " -()[].,:;'\"/\\|@#$%^&*+=<>?`~"
+SPECIALS = "\n\r -()[].,:;'\"/\\|@#$%^&*+=<>?`~"
 _CLEAN = str.maketrans({c: "_" for c in SPECIALS})
 
 
@@ -43,31 +41,40 @@ def column_names(first: list[str]) -> tuple[list[str], bool]:
     return names, True
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All columns as text. Only the first line is looked at on the driver; a data line there stays data.
-
-    Rows with more or fewer cells than the first line are left out. A cell may hold quoted delimiters and quotes;
-    blanks before a cell are cut.
-    """
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
+def _records(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame | None, list[str], list[str]]:
+    """All records below the header with _bad beside (null for those of the right length), their columns, and their names."""
+    # a record may go over several lines, so a file isn't cut: one task reads it, as a stream
+    options = {"sep": delimiter, "multiLine": True, "mode": "PERMISSIVE", "columnPruning": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "nullValue": "\u0000", "emptyValue": ""}
+    first = spark.read.options(**options).option("header", False).csv(path).first()
     if first is None:
-        return spark.createDataFrame([], T.StructType([]))
-    cells = next(csv.reader([first[0]], delimiter=delimiter, skipinitialspace=True))
-    names, header = column_names([c.strip() for c in cells])
-    # one more column than the file has shows rows that are too long; in a row of the right length a null cell is an empty one
+        return None, [], []
+    names, header = column_names([(c or "").strip() for c in first])
     inner = [f"_c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*inner, "_bad"]])
     # without pruning, as a pruned parser would not see that a row is ragged
-    rows = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
-    # Spark refuses to read the column of bad lines alone, so the filter touches another one as well
-    good = F.col("_bad").isNull() & (F.coalesce(F.length("_c0"), F.lit(0)) >= 0)
-    return rows.where(good).select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(inner, names, strict=True)])
+    rows = spark.read.schema(schema).options(**options).option("header", header).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").csv(path)
+    # Spark refuses to read the column of bad lines alone, so another one is touched as well
+    return rows.where(F.coalesce(F.length("_c0"), F.lit(0)) >= 0), inner, names
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """All columns as text. Only the first record is looked at on the driver; a data record there stays data.
+
+    Rows with more or fewer cells than the first record are left out. A cell may hold quoted delimiters, quotes and
+    line breaks (\\r\\n comes as \\n); blanks before a cell are cut. As line breaks don't show where a record begins,
+    each file is read by one task; many files are read side by side.
+    """
+    rows, inner, names = _records(spark, path, delimiter)
+    if rows is None:
+        return spark.createDataFrame([], T.StructType([]))
+    # in a row of the right length a null cell is an empty one
+    cells = [F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")) for c in inner]
+    # what a line that ends in \r\n leaves where the first one ends in \n
+    cells[-1] = F.regexp_replace(cells[-1], r"\r\z", "")
+    return rows.where("_bad is null").select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
 
 
 def skipped(spark: SparkSession, path: str, delimiter: str = ",") -> int:
     """Number of rows that read_csv leaves out."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).count()
-    df = read_csv(spark, path, delimiter)
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
-    header = first is not None and column_names([c.strip() for c in next(csv.reader([first[0]], delimiter=delimiter, skipinitialspace=True))])[1]
-    return lines - int(header) - df.count()
+    rows, _, _ = _records(spark, path, delimiter)
+    return 0 if rows is None else rows.where("_bad is not null").count()

@@ -274,6 +274,19 @@ def test_csv_import(spark, engine, tmp_path):
     assert sorted(r.col_1 for r in engine.execute("select plain").collect()) == ["1", "2"]
 
 
+def test_csv_line_breaks(spark, engine, tmp_path):
+    """A record goes over as many lines as its quoted cells do; \r\n and \n end a line side by side."""
+    f = tmp_path / "a.csv"
+    f.write_bytes(b'k,"the\nnote",z\n1,a,"two\nlines"\n2,"b\n\nc",z\n"short\none",3\n4,"x\r\ny",w\r\n5,q,"v"\r\n')
+    assert engine.import_csv(str(f), "lines") == 4 and skipped(spark, str(f)) == 1
+    got = engine.execute("select k, the_note, z from lines").collect()
+    assert sorted(map(tuple, got)) == [("1", "a", "two\nlines"), ("2", "b\n\nc", "z"), ("4", "x\ny", "w"), ("5", "q", "v")]
+    for i in range(2):  # a folder: each file has the header
+        (tmp_path / "d").mkdir(exist_ok=True)
+        (tmp_path / f"d/{i}.csv").write_text(f'k,v\n{i},"x\ny"\nshort\n')
+    assert engine.import_csv(str(tmp_path / "d"), "folder") == 2 and skipped(spark, str(tmp_path / "d")) == 2
+
+
 def test_csv_command(spark, tmp_path, capsys):
     from brookwell import import_csv
 
