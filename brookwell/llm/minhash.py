@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .common import blocked, clean_rows, map_arrow, materialize, pieces, runs
 from .graph import components
+from .mixing import row_keys
 
 #: Sketch coordinates, rows of a band. At a similarity of 0.75 a pair misses all 43 bands with 0.578 ** 43 = 6e-11.
 COORDINATES, ROWS = 129, 3
@@ -134,8 +135,9 @@ def forest(ids: np.ndarray, marks: np.ndarray, agree: int, sets: list[np.ndarray
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept (it is that document).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE, rows: bool = False) -> DataFrame:
+    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept (it is that document); with
+    rows, also k1, k2 (see mixing.row_keys) and class, a number that only rows of one component share (null for an empty set).
 
     1. Per text: hashed word shingles, their 128-bit digest, a fast similarity sketch (one byte a coordinate) and its
        band keys. Texts of one digest are one vertex, so copies cost a row, not pairs.
@@ -151,6 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType
     d = clean_rows(docs, id_col, text_col).toDF("doc_id", "text")
+    own = ["k1", "k2"] if rows else []
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
@@ -162,21 +165,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keys, marks = band_keys(sk).view(np.int64), sk.astype(np.uint8)
                 at = {i: k for k, i in enumerate(some)}
                 yield {
-                    "doc_id": part.column("doc_id"),
+                    **{c: part.column(c) for c in ("doc_id", *own)},
                     "n_shingles": [len(s) for s in sets],
                     "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                     "bands": [keys[at[i]] if i in at else None for i in range(len(sets))],
                     "marks": [marks[at[i]].tobytes() if i in at else None for i in range(len(sets))],
                 }
 
-    out_kind = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())])
-    signed = materialize(map_arrow(d, sign, out_kind), "signed")
+    out_kind = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in own)])
+    signed = materialize(map_arrow(d.select("*", *(k.alias(c) for c, k in zip(own, row_keys("doc_id", "text"), strict=False))), sign, out_kind), "signed")
     reps = signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     reps = materialize(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices")
 
-    rows = reps.select("vid", F.explode("bands").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = blocked(rows.join(often, "key").join(reps.select("vid", "marks"), "vid"), "key", "n", "vid", SKETCH_BLOCK)
+    bands = reps.select("vid", F.explode("bands").alias("key"))
+    often = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = blocked(bands.join(often, "key").join(reps.select("vid", "marks"), "vid"), "key", "n", "vid", SKETCH_BLOCK)
     met = met.select("key", "bi", "bj", "vid", "marks")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -263,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     at = reps.select("vid", "sid", "rep").join(joined.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     least = at.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = at.join(least, "root").select("sid", "component_id", F.lit(True).alias("in_class"))
-    out = signed.select("doc_id", "n_shingles", "sid").join(of, "sid", "left")
+    of = at.join(least, "root").select("sid", "component_id", F.col("root").alias("class"), F.lit(True).alias("in_class"))
+    out = signed.select("doc_id", "n_shingles", "sid", *own).join(of, "sid", "left")
     out = out.withColumn("component_id", F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *own, *(["class"] if rows else []))

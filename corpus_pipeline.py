@@ -21,11 +21,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id, once if its row is repeated."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
-    found = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).join(kept, ["_id", "_null"], "left_semi")
-    # the window's key begins with the join's, so rows aren't dealt anew
-    first = Window.partitionBy("_id", "_null", F.xxhash64("text")).orderBy(F.lit(0))
+    """One row of each group of near-duplicates: that of the smallest doc_id (null is the greatest; of several texts
+    with that id, one by its hashes), once if it is repeated. Texts without words are groups by id and text."""
+    rows = minhash.near_duplicates(docs, rows=True).select("class", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2").alias("row"))
+    best = rows.where("class is not null").groupBy("class").agg(F.min("row").alias("row")).select("row")
+    kept = best.unionByName(rows.where("class is null").select("row")).select("row.k1", "row.k2")
+    found = docs.withColumns(dict(zip(("_k1", "_k2"), mixing.row_keys("doc_id", "text"), strict=True)))
+    found = found.join(kept, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
+    # the window's key is the join's, so rows aren't dealt anew
+    first = Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))
     return found.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
 
 

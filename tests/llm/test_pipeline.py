@@ -84,6 +84,18 @@ def test_repeated_rows_share_their_copies(spark, tmp_path):
     assert sum(r.doc_id == 2 for r in got) in (1, 2) and 3 <= sum(r.doc_id == 1 for r in got) <= 4
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Also where all ids of a group are null, and where an id stands on texts of several groups."""
+    one, two, three, four = (words(random.Random(k), 60, 5000) for k in range(4))
+    rows = [(None, one, "en", "a", 1), (None, one + " more", "en", "a", 1), (None, one, "en", "a", 1)]
+    rows += [(3, two, "en", "a", 1), (5, two + " more", "en", "a", 1), (5, three, "en", "a", 1), (6, three, "de", "b", 1), (None, three, "en", "a", 1)]
+    rows += [(7, four, "en", "a", 1), (7, four + " more", "en", "a", 1), (8, None, "en", "a", 1), (None, "", "en", "a", 1), (None, "", "en", "a", 1)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    assert len(got) == 6
+    assert sum(i is None and t.startswith(one) for i, t in got if t) == 1 and sum(i == 7 and t.startswith(four) for i, t in got if t) == 1
+    assert {(3, two), (5, three), (8, None), (None, "")} < set(got)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
