@@ -146,6 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels, or with labels of one kind alone, the model is the (smoothed) rate.
     """
     one = clean_rows(labels, id_col, label_col).toDF("_id", "_y").where("_id is not null and _y is not null").where(~in_holdout(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"))
+    # a label without a document takes no place; ids alone meet here
+    ids = clean_rows(docs, id_col).toDF("id")
+    one = one.join(ids, F.col("id") == F.col("_id"), "left_semi")
     # at most `sample` pairs of an id and a label, so a broadcast is bounded whatever the tables' size
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     d = clean_rows(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), F.col("id") == F.col("_id"))

@@ -47,6 +47,14 @@ def test_held_out_accuracy(spark):
     assert len(held) > 50 and all((r.score >= 0.7) == (r.doc_id % 3 != 0) for r in held)
 
 
+def test_labels_without_a_document_take_no_place(spark):
+    rows, labels = docs_and_labels()
+    d, kind = table(spark, rows), "doc_id long, quality int, toxic int"
+    strangers = [(10_000 + i, i % 2, 0) for i in range(4000)]
+    a, b = (gam.fit(d, spark.createDataFrame(x, kind), sample=250) for x in (labels, labels + strangers))
+    assert len(a.pairs) == len(b.pairs) > 0 and all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+
+
 def test_holdout_is_never_learned_from(spark):
     rows, labels = docs_and_labels()
     d = table(spark, rows)
