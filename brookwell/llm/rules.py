@@ -97,11 +97,13 @@ def binomial_upper(rejected: int, n: int, delta: float) -> float:
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, most: float, delta: float, price: float = 20.0, share: float = 0.02) -> int | None:
     """A bin to cut at (bins at and over it fail), or None. good and bad: labelled documents in each bin.
 
-    Fixed sequence: from the most lenient cutoff on, each is tested at level delta until the first whose bound on false
-    rejection goes over most; all before are certified at once. Of these, the one is taken that rejects most bad
-    documents after a price for each good one, and more than a share of them; of equals the most lenient.
+    From the most lenient cutoff on, up to the first whose bound on false rejection goes over most; delta is shared by
+    all cutoffs, so their bounds hold at once, and most may depend on the same documents. Of these cutoffs, the one is
+    taken that rejects most bad documents after a price for each good one, and more than a share of them; of equals the
+    most lenient.
     """
     n, best, at = int(good.sum()), share * int(bad.sum()), None
+    delta /= max(1, len(good) - 1)
     lost, caught = 0, 0
     for i in range(len(good) - 1, 0, -1):
         lost, caught = lost + int(good[i]), caught + int(bad[i])
@@ -116,7 +118,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, most: float, d
     """(stratum, rule) -> the bin to cut at, from documents that pass the base. The rules come in turn: each is tested
     on all good documents, and chosen by the bad ones that no rule before it rejects.
 
-    Bonferroni: delta is shared by all pairs of a stratum and a rule. What comes to the driver is a count per stratum,
+    Bonferroni: delta is shared by all pairs of a stratum and a rule and by the rule's cutoffs, so all bounds hold at
+    once. A stratum's rules share most: each has what the bounds of the cutoffs chosen before it leave, so that what all
+    of them together reject is bounded by most, however the rules overlap. What comes to the driver is a count per stratum,
     bin and label, rule by rule, so strata should be few (languages); a stratum without enough labelled good documents
     for any certificate gets no cutoff, so nothing but the base rejects its documents.
     """
@@ -125,6 +129,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, most: float, d
     held = materialize(held.select(F.col(stratum).alias("s"), (F.col("_good") >= 1).alias("good"), *MEASURES), "held")
     strata = [r[0] for r in held.select("s").distinct().collect()]
     out: dict[tuple[str | None, str], int] = {}
+    own, left = delta / max(1, len(strata) * len(RULES)), dict.fromkeys(strata, most)
     for rule in RULES:
         caught = [F.col("s").eqNullSafe(F.lit(s)) & (bin_of(r) >= out[s, r.name]) for r in RULES for s in strata if (s, r.name) in out]
         rest = held.where(F.col("good") | ~reduce(operator.or_, caught, F.lit(False)))
@@ -132,8 +137,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, most: float, d
         for s, good, at, n in rest.groupBy("s", "good", bin_of(rule).alias("bin")).count().collect():
             counts[s][int(good), at] += n
         for s, (bad, good) in counts.items():
-            if (cut := choose_cutoff(good, bad, most, delta / (len(strata) * len(RULES)))) is not None:
+            if (cut := choose_cutoff(good, bad, left[s], own)) is not None:
                 out[s, rule.name] = cut
+                left[s] -= binomial_upper(int(good[cut:].sum()), int(good.sum()), own / rule.bins)
     return out
 
 
@@ -150,8 +156,8 @@ def bin_of(rule: Rule) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", most: float = 0.03, delta: float = 0.05) -> DataFrame:
     """Per document: id, the measures, base_failed, failed_rule (the first that it fails, else null) and kept.
 
-    With probability 1 - delta over the labelled documents, no rule rejects more than the share most of good documents
-    of any stratum. Null texts measure 0 and fail the base (fewer than 10 words). Labels that are null, or of documents
+    With probability 1 - delta over the labelled documents, the rules together reject no more than the share most of
+    good documents of any stratum. Null texts measure 0 and fail the base (fewer than 10 words). Labels that are null, or of documents
     that aren't there, don't count; of several for one document the least does. Null ids match no label. A null
     stratum is one of its own. Repeated rows stay; other columns are ignored; without labels only the base rejects.
 
