@@ -236,7 +236,8 @@ def _coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", output: str = "ids") -> DataFrame:
-    """Per row: id and ids (array<int>), or with output="digests": n_tokens, ids_sha256, decoded_sha256.
+    """Per row: id and ids (array<int>), with output="round_trip" also text_sha256 (of the text) and decoded_sha256 (of
+    the ids decoded again), or with output="digests": n_tokens, ids_sha256, decoded_sha256.
 
     path and pattern name the vocabulary (ranks file) and the split; by default the public byte_bpe_50k and its pattern,
     loaded by each worker from its own installation. Null texts count as empty (no ids). Repeated rows and null ids
@@ -251,9 +252,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         bpe = _coder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
-                coded = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                coded = bpe.encode(texts)
                 if output == "ids":
                     yield {"id": part.column("id"), "ids": coded}
+                elif output == "round_trip":
+                    yield {
+                        "id": part.column("id"),
+                        "ids": coded,
+                        "text_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
+                        "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded],
+                    }
                 else:
                     name = bpe.names.__getitem__
                     yield {
@@ -263,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                         "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded],
                     }
 
-    columns = "ids array<int>" if output == "ids" else "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    columns = {"ids": "ids array<int>", "round_trip": "ids array<int>, text_sha256 string, decoded_sha256 string"}.get(output, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return map_arrow(d, run, f"id {d.schema['id'].dataType.simpleString()}, {columns}").withColumnRenamed("id", id_col)
 
 

@@ -48,8 +48,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe.encode_documents(docs)
+    """Token ids of each document, decoded again: ids that don't give the document's text back break the stage."""
+    coded = bpe.encode_documents(docs, output="round_trip")
+    lost = F.raise_error(F.concat(F.lit("the ids of a document don't decode to its text: doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return coded.select("doc_id", F.when(F.col("text_sha256") == F.col("decoded_sha256"), F.col("ids")).otherwise(lost.cast("array<int>")).alias("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

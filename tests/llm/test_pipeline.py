@@ -3,6 +3,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brookwell.llm import bpe, gam, pii
@@ -96,6 +97,20 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert {(3, two), (5, three), (8, None), (None, "")} < set(got)
 
 
+def test_tokens_are_decoded_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c", "en", "x", 5), (None, None, "en", "x", 0), (2, "Ünï 😀", "en", "x", 5)], DOCS)
+    assert {r.doc_id: len(r.ids) > 0 for r in corpus_pipeline.tokens(spark, docs, "").collect()} == {1: True, None: False, 2: True}
+    plain = bpe.encode_documents
+
+    def broken(docs, **how):
+        out = plain(docs, **how)
+        return out.withColumn("decoded_sha256", F.lit("another text")) if "decoded_sha256" in out.columns else out
+
+    monkeypatch.setattr(bpe, "encode_documents", broken)
+    with pytest.raises(Exception, match="don't decode to its text"):
+        corpus_pipeline.tokens(spark, docs, "").collect()
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
