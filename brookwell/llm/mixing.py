@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +52,27 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(mean.between(3.5, 12), 1.0).when(mean.between(2.5, 20), 0.5).otherwise(0.25)
 
 
+def _summed(d: DataFrame, most: Column | None = None) -> DataFrame:
+    """With sum, the running sum of sizes in the order of a source's keys; stretches that begin at most or over it are left out."""
+    sums = d.groupBy("source", "stretch").agg(F.sum("size").alias("sum"))
+    # the table of stretches has a row for STRETCH documents or so: a source with many goes in rows of its own below
+    upto = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("stretch").alias("t"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
+    d = d.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t"))).drop("s", "t")
+    if most is not None:
+        d = d.where(F.col("before") < most)
+    within = Window.partitionBy("source", "stretch").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("sum", F.col("before") + F.sum("size").over(within)).drop("before")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = REPEATS, seed: int = 17, weight: Column | None = None) -> DataFrame:
     """Per document: id, source, size, source_size, target, copies (times that the mix holds it), taken = copies * size,
     and k1, k2 (see row_keys).
 
     Each document has the key -ln(u) / weight with u from a hash of seed, id and text; each source takes its whole
     epochs first, then documents in the order of their keys as long as the running sum of sizes stays within the rest,
-    then the one document left over whose size comes nearest to what is missing, if that makes the miss smaller.
+    then, again in that order, those further on that fit what is missing, until none does, then the one document left
+    over whose size comes nearest to what is missing, if that makes the miss smaller.
     Sizes count words; a null text has size 0. Ties of keys (repeated rows) go by row; reruns agree up to which of
     several equal rows it is. Null ids and sources are values of their own. Other columns are ignored; an empty
     table gives an empty result.
@@ -76,20 +92,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     stretches = F.ceil(F.col("n") / F.lit(STRETCH))
     d = d.withColumn("stretch", F.floor((1 - F.exp(-F.col("key"))) * stretches))
-    sums = d.groupBy("source", "stretch").agg(F.sum("size").alias("sum"))
-    # the table of stretches has a row for STRETCH documents or so: a source with many goes in rows of its own below
-    upto = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("stretch").alias("t"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t"))).drop("s", "t")
-    within = Window.partitionBy("source", "stretch").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("sum", F.col("before") + F.sum("size").over(within))
-    d = materialize(d.withColumn("whole", (F.col("sum") <= F.col("rest")) & (F.col("size") > 0)).drop("before"), "drawn")
-    # what the whole documents leave of a source's rest goes to the one left over that comes nearest to it, if any does
-    gaps = d.groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0))).alias("gap"))
+    d = materialize(_summed(d).withColumn("whole", (F.col("sum") <= F.col("rest")) & (F.col("size") > 0)), "drawn")
+    gaps = d.where("rest > 0").groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0))).alias("gap"))
+    gaps = materialize(gaps.withColumnRenamed("source", "s"), "gaps")
+    left = d.where("not whole and size > 0 and rest > 0").select("source", "stretch", "key", "doc_id", "row", "size")
+    # what the whole documents leave goes to those further on that still fit, until none does: a round takes one of each such source at least
+    taken = []
+    while True:
+        fits = left.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s").where("size <= gap")
+        # the stretches from which nothing can fit are left out before the rows of the others are put in order
+        new = materialize(_summed(fits, F.col("gap")).where("sum <= gap").select("source", "row", "size"), "taken")
+        if new.isEmpty():
+            break
+        taken.append(new)
+        minus = new.groupBy("source").agg(F.sum("size").alias("minus"))
+        gaps = materialize(gaps.join(minus, F.col("source").eqNullSafe(F.col("s")), "left").select("s", (F.col("gap") - F.coalesce("minus", F.lit(0))).alias("gap")), "gaps")
+        left = left.join(new.select(F.col("row").alias("gone")), F.col("row") == F.col("gone"), "left_anti")
+    # and the rest to the one left over that comes nearest to it, if any does
     off = F.abs(F.col("size") - F.col("gap"))
-    left = d.where("not whole and size > 0 and rest > 0").join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    last = left.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "row")).alias("last")).select(F.col("source").alias("s"), F.col("last.row").alias("last"))
-    d = d.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
-    drawn = F.col("whole") | F.coalesce(F.col("row") == F.col("last"), F.lit(False))
+    left = left.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
+    last = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "row")).alias("last")).select(F.col("last.row").alias("extra"))
+    extra = reduce(DataFrame.unionByName, [t.select(F.col("row").alias("extra")) for t in taken], last)
+    d = d.join(extra, F.col("row") == F.col("extra"), "left")
+    drawn = F.col("whole") | F.col("extra").isNotNull()
     copies = (F.col("epochs") + F.when(drawn, 1).otherwise(0)).cast("int")
     return d.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "k1", "k2")

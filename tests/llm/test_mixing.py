@@ -73,3 +73,20 @@ def test_epochs_come_first_and_weights_count(spark):
     b = [r for r in got if r.source == "b"]
     assert {r.copies for r in b} == {2, 3}
     assert sum(r.copies == 3 for r in b if r.doc_id % 2 == 0) > 1.5 * sum(r.copies == 3 for r in b if r.doc_id % 2)
+
+
+def test_a_long_document_does_not_end_a_draw(spark):
+    """Sources that one long document dominates: nothing that fits what is missing is left over."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(100 * k + i, words(rng, 900 if i == 0 else 5 + i % 9), "en", f"s{k}", 0) for k in range(12) for i in range(60)]
+    by_source = {}
+    for r in mixing.mix(table(spark, rows)).collect():
+        by_source.setdefault(r.source, []).append(r)
+    for docs in by_source.values():
+        epochs, missing = int(docs[0].target / docs[0].source_size + 1e-9), docs[0].target - sum(r.taken for r in docs)
+        unused = [r["size"] for r in docs if r.copies == epochs]
+        assert missing < min(unused, default=1)
+        # with only the long one left over it may be nearest to what is missing, short ones are never so far off
+        assert min(unused, default=900) == 900 or abs(missing) <= 13
