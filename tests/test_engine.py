@@ -257,6 +257,19 @@ def test_results_are_never_stale(engine):
     assert engine.stats()["result_hits"] == 1
 
 
+def test_nulls_meet_values_at_any_size(spark):
+    """The order across the boundary, which the capped sort_nulls queries show at sf0.01 alone."""
+    from brookwell.queries import _with_nulls
+
+    engine = _with_nulls(spark, "/root/testdata/sf0.1")
+    holes = engine.table("holes")
+    values, nulls = holes.where("status is not null").count(), holes.where("price is null").count()
+    last = [r.status for r in engine.execute(f"select status from holes order by status limit 6 offset {values - 3}").collect()]
+    first = [r.price for r in engine.execute(f"select price from holes order by price desc limit 6 offset {nulls - 3}").collect()]
+    assert last[3:] == [None] * 3 and None not in last[:3] and first[:3] == [None] * 3 and None not in first[3:]
+    assert first[3:] == sorted(first[3:], reverse=True) and first[3] == holes.agg({"price": "max"}).first()[0]
+
+
 def test_csv_names():
     assert clean_name("Order ID") == "order_id" and clean_name("2nd Price ($)") == "col_2nd_price" and clean_name("--") == "col"
     assert column_names(["a", "A", "b"]) == (["a", "a_2", "b"], True) and column_names(["x", "1.5"]) == (["col_1", "col_2"], False)
