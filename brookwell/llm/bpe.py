@@ -194,8 +194,8 @@ class ByteBPE:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, each match of the pattern on its own. Distinct matches (told apart by 64-bit hashes of
-        their code points) are encoded once as long as they are remembered."""
+        """Ids of each text, each match of the pattern on its own. Distinct matches (found by 64-bit hashes of their
+        code points, then compared) are encoded once as long as they are remembered."""
         joined = "".join(texts)
         if not joined:
             return [[] for _ in texts]
@@ -220,7 +220,7 @@ class ByteBPE:
         def learn(words: list[str]) -> list[list[int]]:
             return self.encode_tokens([w.encode("utf-8", "surrogatepass") for w in words])
 
-        ids, n = self.cache.ids(h, lambda i: joined[start[i] : end[i]], learn)
+        ids, n = self.cache.ids(h, points, start, size, lambda i: joined[start[i] : end[i]], learn)
         upto = np.r_[0, np.cumsum(n)][np.searchsorted(start, edges)].tolist()
         ids = ids.tolist()
         return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
@@ -277,7 +277,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
 
 def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: id and text_bytes (binary), the bytes that the ids stand for; null ids give null."""
+    """Per row: id and text_bytes (binary), the bytes that the ids stand for; null ids give null, no ids give no bytes.
+    Repeated rows and null row ids stay, other columns are ignored, an empty table gives an empty result; an id that the
+    ranks don't have is an error."""
     d = clean_rows(coded, id_col, ids_col).toDF("id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

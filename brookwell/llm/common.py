@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -18,17 +23,66 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset and all
+    tasks run in this very process (tests); on a cluster a folder of the driver's own machine would be no use."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brookwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders made in the innermost scratch() of this thread; None outside of any.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+#: Folders that hold what applications write, each deleted when its application ends.
+_OWNED: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new place below the shared folder; nothing else writes there."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new place in the application's part of the shared folder; nothing else writes there. It goes at the end of the
+    scratch() that it is made in, and else with the application."""
+    own = f"{shared_dir(spark)}/brookwell-{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        fs, path = _hadoop(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWNED.add(own)
+    out = f"{own}/{label}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
+def delete_dir(spark: SparkSession, uri: str) -> None:
+    fs, path = _hadoop(spark, uri)
+    fs.delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write inside is deleted at the end: their results must be written elsewhere or used up by then."""
+    token = _MADE.set(made := [])
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for uri in made:
+            delete_dir(spark, uri)
+
+
+def fresh_name(taken: Iterable[str], name: str) -> str:
+    """A column name near name that none of those taken is equal to (in any case)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -89,7 +143,6 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     """The batch cut so that the column's bytes in each piece stay near most (one row may be larger)."""
     if not batch.num_rows:
         return
-    import numpy as np
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -110,8 +163,6 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Rec
 
     A group is never cut; one that goes over several Arrow batches comes as one batch with that group alone or first.
     """
-    import numpy as np
-
     held: list[pa.RecordBatch] = []
 
     def bounds(batch: pa.RecordBatch) -> np.ndarray:
@@ -147,56 +198,79 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Rec
         yield whole, [0, whole.num_rows]
 
 
-def blocked(df: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
-    """Rows of a group of size over block go to every pair of blocks that theirs is in: columns bi, bj.
+#: Keys that hold more than 1 / HOT of the rows come by broadcast in spread_join; there are fewer than HOT of them.
+HOT = 1000
 
-    Any two members of a group meet in some (group, bi, bj), which holds 2 * block rows or so whatever the group's size.
-    """
-    from pyspark.sql import functions as F
 
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(member), n).cast("int")
-    return (
-        df.withColumn("_nb", n).withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-        .withColumn("bi", F.least("_own", "_other")).withColumn("bj", F.greatest("_own", "_other"))
-        .drop("_nb", "_own", "_other")
-    )
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: int, by: str) -> DataFrame:
+    """left with the column value (a struct) of right, null where right has no such key; no key's rows in one task.
+
+    right: the keys, n (rows of left with them, or more), value; a row a key. total: rows of left, or more. Fewer than
+    HOT keys can have more than total / HOT rows: these come by broadcast. Rows of such a key, or with a null in it, are
+    dealt by the column `by` and the others by their keys.
+    """
+    hot = F.col("n") * HOT > total
+    often = right.where(hot).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.col("value").alias("_hot"))
+    rare = right.where(~hot).select(*(F.col(k).alias(f"_rare_{k}") for k in keys), F.col("value").alias("_rare"), F.lit(0).cast("long").alias("_own"))
+    out = left
+    for other, prefix in ((F.broadcast(often), "_hot_"), (rare, "_rare_")):
+        match = F.lit(True)
+        for k in keys:
+            match &= F.col(k) == F.col(f"{prefix}{k}")
+        if prefix == "_rare_":
+            apart = F.col("_hot").isNotNull()
+            for k in keys:
+                apart |= F.col(k).isNull()
+            out = out.withColumn("_salt", F.when(apart, F.xxhash64(by)).otherwise(0))
+            match &= F.col("_salt") == F.col("_own")
+        out = out.join(other, match, "left")
+    return out.select(*left.columns, F.coalesce("_hot", "_rare").alias("value"))
 
 
 class RaggedCache:
-    """Arrays of ids by 64-bit hashes, in flat storage; all are forgotten when there are more than most."""
+    """Arrays of ids of items (strings), in flat storage; all are forgotten when there are more than most.
+
+    Items are looked up by 64-bit hashes, but an id is only taken over after the item itself has been compared.
+    """
 
     def __init__(self, most: int) -> None:
         self.most = most
         self._forget()
 
     def _forget(self) -> None:
-        import numpy as np
-
         self.known: dict[int, int] = {}
+        self.items: list[str] = []
         self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def ids(self, hashes, item: Callable, learn: Callable):
-        """(ids of all items in a row, number of ids of each) for items with these hashes. What isn't known is asked
-        for at once: learn(list of items), where item(i) gives the i-th one."""
-        import numpy as np
-
+    def ids(self, hashes: np.ndarray, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, item: Callable[[int], str], learn: Callable[[list[str]], list]):
+        """(ids of all items in a row, number of ids of each). The i-th item has that hash, is the run of size[i] symbols
+        from start[i] on, and item(i) as a string; what isn't known is asked for at once: learn(list of items)."""
         if len(self.known) > self.most:
             self._forget()
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        own = [*map(item, first.tolist())]
         found = [*map(self.known.get, distinct.tolist())]
+        lead = first[back]
+        equal = bool((size == size[lead]).all())
+        if equal:
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            equal = bool((symbols[np.repeat(start, size) + at] == symbols[np.repeat(start[lead], size) + at]).all())
+        if not equal or any(x is not None and self.items[x] != o for x, o in zip(found, own, strict=True)):
+            # two items of one hash: this once all are encoded as they stand
+            parts = learn([item(i) for i in range(len(hashes))])
+            return np.fromiter(chain.from_iterable(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
-            parts = learn([item(i) for i in first[new].tolist()])
+            parts = learn([own[i] for i in new])
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            start = len(self.at)
+            begin = len(self.at)
             self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
             self.size = np.concatenate((self.size, sizes))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))))
+            self.items += [own[i] for i in new]
             for n, i in enumerate(new):
-                found[i] = start + n
-            self.known.update(zip(distinct[new].tolist(), range(start, start + len(new)), strict=True))
+                found[i] = begin + n
+            self.known.update(zip(distinct[new].tolist(), range(begin, begin + len(new)), strict=True))
         index = np.array(found, np.int64)[back]
         n = self.size[index]
         upto = np.cumsum(n)

@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each vertex of the edges (a, b: long); root is the smallest vertex of the component.
 
     Each round halves the depth of the trees at least, so rounds grow with the logarithm of a component's diameter.
-    Nothing but two numbers a round comes to the driver.
+    Nothing but two numbers a round comes to the driver; the links of a vertex with very many are spread over tasks.
     """
 
-    def stars(e: DataFrame, larger: bool) -> DataFrame:
+    def stars(e: DataFrame, n: int, larger: bool) -> DataFrame:
         both = e.union(e.select("b", "a")) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.struct(F.least("a", "m").alias("m")).alias("value"))
+        joined = spread_join(both, least, ["a"], 2 * n if larger else n, "b").select("a", "b", F.col("value.m").alias("m"))
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not larger:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("value.m").alias("b")))
         return out.where("a <> b").distinct()
 
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
     e = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        e = materialize(stars(stars(e, True), False), "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+    now, last = mark(e), None
+    while now[0] and now != last:
+        # a large star makes one edge of each at most, so the count before it bounds the small star's
+        e = materialize(stars(stars(e, now[0], True), now[0], False), "stars")
+        now, last = mark(e), now
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).union(e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

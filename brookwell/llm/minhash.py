@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocked, clean_rows, map_arrow, materialize, pieces, runs
+from .common import clean_rows, map_arrow, materialize, pieces, runs, spread_join
 from .graph import components
 from .mixing import row_keys
 
-#: Sketch coordinates, rows of a band. At a similarity of 0.75 a pair misses all 43 bands with 0.578 ** 43 = 6e-11.
-COORDINATES, ROWS = 129, 3
 SHINGLE = 5
+#: How likely a pair at the least similarity is to miss all bands at most, to agree in too few coordinates at most, and
+#: the coordinates of a sketch at most (where bands of one row need no more).
+MISSED, APART, COORDINATES = 1e-10, 1e-9, 170
+
+
+@lru_cache(maxsize=16)
+def sketch_plan(percent: int) -> tuple[int, int, int]:
+    """(coordinates, rows of a band, coordinates that must agree before a pair is looked at) for a least similarity.
+
+    Bands have as many rows as the coordinates allow; at 75 that is 43 bands of 3, which a pair at 0.75 all misses with
+    0.578 ** 43 = 6e-11. Pairs that agree in fewer coordinates are surely apart (binomial tail), so they are spared.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    p = percent / 100
+    for rows in range(8, 0, -1):
+        bands = ceil(log(MISSED) / log(1 - p**rows)) if percent < 100 else 1
+        if rows * bands <= COORDINATES:
+            break
+    t, tail, agree = rows * bands, 0.0, 0
+    while agree < t and (tail := tail + comb(t, agree) * p**agree * (1 - p) ** (t - agree)) <= APART:
+        agree += 1
+    return t, rows, agree
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -56,7 +79,7 @@ def shingle_set(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.nd
     return np.unique(window_hashes(text.encode("utf-8", "surrogatepass").lower().split() if text else [], hashes, n))
 
 
-def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
+def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """Fast similarity sketches of non-empty sets, one row each.
 
     Round i < t throws each element into one hashed bin with a value above those of earlier rounds; a row whose
@@ -79,7 +102,7 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each sketch; the band's number is part of it."""
     n, t = sketch.shape
     b = t // rows
@@ -90,13 +113,10 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
-#: Coordinates that must agree before a pair is looked at: at a similarity of 0.75 fewer agree with a probability
-#: of about 1e-9 (binomial, 129 draws), so this only spares work on pairs that are surely apart.
-AGREE = 66
 #: Members of a block in a large bucket of sketches, and in a large candidate cluster of full sets.
 SKETCH_BLOCK, SET_BLOCK = 4096, 256
-#: Members of a large cluster that meet one copy of its first vertex's set.
-STAR = 4096
+#: Members of a large group that meet one copy of a round's hubs, and the hubs of a round (about).
+STAR, HUBS = 4096, 16
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,138 +155,194 @@ def forest(ids: np.ndarray, marks: np.ndarray, agree: int, sets: list[np.ndarray
     return out
 
 
+def _in_blocks(agree: int, percent: int):
+    """Edges of a spanning forest in each (g, bi, bj) of a stream sorted by these; with shingles links are verified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch, cut in runs(batches, "g", "bi", "bj"):
+            ids = batch.column("vid").to_numpy()
+            marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+            full = "shingles" in batch.schema.names
+            closed = batch.column("closed").to_numpy(zero_copy_only=False)
+            edges: list[tuple[int, int]] = []
+            cut = np.array(cut)
+            if not full:  # groups of two need no search
+                twos = cut[:-1][np.diff(cut) == 2]
+                twos = twos[(marks[twos] == marks[twos + 1]).sum(1) >= agree]
+                edges += zip(ids[twos].tolist(), ids[twos + 1].tolist(), strict=True)
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                own = closed[s:e]
+                if e - s > 1 + (not full) and not own.all():
+                    sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").slice(s, e - s).to_pylist()] if full else None
+                    edges += forest(ids[s:e], marks[s:e], agree, sets, percent, own if own.any() else None)
+            yield {"a": [x for x, _ in edges], "b": [y for _, y in edges]}
+
+    return run
+
+
+def _meet(agree: int, percent: int):
+    """Rows that are no hub, each with the first hub of its (g, part) that it is linked with, if any; hubs come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        at, hubs, sketch, sets = None, [], [], []
+        for batch in batches:
+            full = "shingles" in batch.schema.names
+            shingles = batch.column("shingles").to_pylist() if full else [b""] * batch.num_rows
+            own, by = [], []
+            for i, (g, part, hub, vid, marks, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "part", "hub", "vid", "marks")), shingles, strict=True)):
+                if (g, part) != at:
+                    at, hubs, sketch, sets = (g, part), [], [], []
+                mark, mine = np.frombuffer(marks, np.uint8), np.frombuffer(x, np.uint64)
+                if hub:
+                    hubs.append(vid)
+                    sketch.append(mark)
+                    sets.append(mine)
+                    continue
+                near = np.flatnonzero((np.array(sketch) == mark).sum(1) >= agree).tolist() if hubs else []
+                own.append(i)
+                by.append(next((hubs[k] for k in near if not full or linked(sets[k], mine, percent)), None))
+            part = batch.take(pa.array(own, pa.int64()))
+            yield {**{c: part.column(c) for c in batch.schema.names if c not in ("part", "hub")}, "by": by}
+
+    return run
+
+
+def _joined(rows: DataFrame, block: int, agree: int, percent: int, large: bool) -> DataFrame:
+    """Edges (a, b) that join what is linked within each group: by full sets where rows have shingles, else by sketch.
+
+    rows: g, first (a member), n (members), vid, marks, and shingles. A group of at most `block` rows is searched as
+    one. A larger one grows a tree from its first member: in each round the rows that are still open meet some hubs, at
+    first that member, then some that the last round has joined, as long as a round joins a quarter of what was open. A
+    round moves only the open rows, so a group of like rows costs a few times its rows. What is open then meets all of
+    its group, in pairs of blocks, so no link is lost; rows of the tree needn't meet each other.
+    """
+    names = rows.columns
+    kind = T.StructType([*rows.schema, T.StructField("by", T.LongType())])
+    blocks = rows.where(F.col("n") <= block).select(*names, F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(False).alias("closed"))
+    edges = []
+    if large:
+        opened = rows.where(F.col("n") > block)
+        hubs = opened.where("vid = first").dropDuplicates(["g"]).withColumn("parts", F.ceil(F.col("n") / F.lit(STAR)).cast("int"))
+        opened = opened.withColumn("parts", F.ceil(F.col("n") / F.lit(STAR)).cast("int"))
+        before, total, tree = None, 0, []
+        while True:
+            hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("hub", F.lit(True))
+            rays = opened.withColumn("part", F.pmod(F.xxhash64("vid"), "parts").cast("int")).withColumn("hub", F.lit(False))
+            both = rays.unionByName(hubs).select(*names, "part", "hub")
+            n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            met = materialize(map_arrow(both.repartition(n, "g", "part").sortWithinPartitions("g", "part", F.desc("hub")), _meet(agree, percent), kind), "met")
+            new, left = met.agg(F.count("by"), F.count("*") - F.count("by")).first()
+            total = total or new + left
+            tree.append(met.where("by is not null"))
+            edges.append(tree[-1].select(F.col("by").alias("a"), F.col("vid").alias("b")))
+            still = met.where("by is null").drop("by")
+            if not left or not new or before is not None and 4 * new < new + left:
+                break
+            before = left
+            # the next hubs: some of those that this round has joined, in the groups that have open rows
+            counts = met.groupBy("g").agg(F.count("*").alias("n"), F.count("by").alias("new")).withColumn("left", F.col("n") - F.col("new"))
+            value = counts.select("g", "n", F.struct("new", "left").alias("value"))
+            told = spread_join(met, value, ["g"], new + left, "vid").where("value.left > 0 and value.new > 0")
+            told = told.withColumn("parts", F.ceil(F.col("value.left") / F.lit(STAR)).cast("int"))
+            hubs = told.where("by is not null").where(F.pmod(F.xxhash64("vid", F.lit(len(tree))), "value.new") < HUBS).select(*names, "parts")
+            opened = told.where("by is null").select(*names, "parts")
+            # groups that this round has brought no further wait for the blocks
+            stuck = spread_join(still, value, ["g"], new + left, "vid").where("value.new = 0").select(*names)
+            tree.append(stuck.withColumn("by", F.lit(None).cast("long")))
+        if left or len(tree) > 1:
+            tree.append(still.withColumn("by", F.lit(None).cast("long")))
+            every = reduce(DataFrame.unionByName, tree)
+            # many groups are done; of the others the open rows go to all pairs of blocks that theirs is in, joined ones only to those with open rows
+            value = every.groupBy("g").agg(F.max("n").alias("n"), F.count_distinct(F.when(F.col("by").isNull(), F.col("vid"))).alias("open")).where("open > 0")
+            value = value.select("g", "n", F.struct("open").alias("value"))
+            rest = spread_join(every.withColumn("closed", F.col("by").isNotNull()), value, ["g"], total, "vid").where("value is not null")
+            opens, alls = F.ceil(F.col("value.open") / F.lit(block)).cast("int"), F.ceil(F.col("n") / F.lit(block)).cast("int") + 1
+            rest = rest.withColumn("opens", opens).withColumn("alls", F.col("opens") + alls)
+            mine = F.when(F.col("closed"), F.col("opens") + F.pmod(F.xxhash64("vid"), F.col("alls") - F.col("opens"))).otherwise(F.pmod(F.xxhash64("vid"), F.col("opens"))).cast("int")
+            other = F.when(F.col("closed"), F.sequence(F.lit(0), F.col("opens") - 1)).otherwise(F.sequence(F.lit(0), F.col("alls") - 1))
+            rest = rest.withColumn("mine", mine).withColumn("other", F.explode(other))
+            blocks = blocks.unionByName(rest.select(*names, F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "closed"))
+    blocks = blocks.drop("first", "n").repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "vid")
+    return reduce(DataFrame.unionByName, edges, map_arrow(blocks, _in_blocks(agree, percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE, rows: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links), kept (it is that document); with
     rows, also k1, k2 (see mixing.row_keys) and class, a number that only rows of one component share (null for an empty set).
 
     1. Per text: hashed word shingles, their 128-bit digest, a fast similarity sketch (one byte a coordinate) and its
        band keys. Texts of one digest are one vertex, so copies cost a row, not pairs.
-    2. Vertices that share a band key are compared by sketch, large buckets in pairs of blocks; what agrees enough
-       forms candidate clusters (components over a spanning forest of each bucket).
-    3. Links are verified on the full sets: in a large cluster first with its first vertex, then whatever that leaves
-       open with all of the cluster, in pairs of blocks; in a small one all pairs not yet joined.
+    2. Vertices that share a band key are compared by sketch; what agrees enough forms candidate clusters (components
+       over a spanning forest of each bucket).
+    3. Links within the clusters are verified on the full sets.
     4. Components of the verified links.
 
-    Null or blank texts have empty sets and are linked with nothing. Rows with equal texts share a component whatever
-    their ids; a null id never is a component's id unless all ids of the component are null. Repeated rows come back
-    as often as they came in. Other columns are ignored. An empty table gives an empty result.
+    Sketches and bands follow from percent (see sketch_plan); large buckets and clusters go by hubs, then by blocks (see
+    _joined). Null or blank texts have empty sets and are linked with nothing. Rows with equal texts share a component
+    whatever their ids; a null id never is a component's id unless all ids of the component are null. Repeated rows
+    come back as often as they came in. Other columns are ignored. An empty table gives an empty result. A text is
+    taken whole, however long; its set is held by one task.
     """
+    t, per_band, agree = sketch_plan(percent)
     kind = docs.schema[id_col].dataType
     d = clean_rows(docs, id_col, text_col).toDF("doc_id", "text")
-    own = ["k1", "k2"] if rows else []
+    d = d.withColumns(dict(zip(("k1", "k2"), row_keys("doc_id", "text"), strict=True)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets = [shingle_set(t, hashes, shingle) for t in part.column("text").to_pylist()]
+                sets = [shingle_set(x, hashes, shingle) for x in part.column("text").to_pylist()]
                 some = [i for i, s in enumerate(sets) if len(s)]
-                sk = sketches([sets[i] for i in some])
-                keys, marks = band_keys(sk).view(np.int64), sk.astype(np.uint8)
+                sk = sketches([sets[i] for i in some], t)
+                keys, marks = band_keys(sk, per_band).view(np.int64), sk.astype(np.uint8)
                 at = {i: k for k, i in enumerate(some)}
                 yield {
-                    **{c: part.column(c) for c in ("doc_id", *own)},
+                    **{c: part.column(c) for c in ("doc_id", "k1", "k2")},
                     "n_shingles": [len(s) for s in sets],
                     "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                     "bands": [keys[at[i]] if i in at else None for i in range(len(sets))],
                     "marks": [marks[at[i]].tobytes() if i in at else None for i in range(len(sets))],
                 }
 
-    out_kind = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in own)])
-    signed = materialize(map_arrow(d.select("*", *(k.alias(c) for c, k in zip(own, row_keys("doc_id", "text"), strict=False))), sign, out_kind), "signed")
-    reps = signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    fields = [("doc_id", kind), ("n_shingles", T.LongType()), ("sid", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("marks", T.BinaryType()), ("k1", T.LongType()), ("k2", T.LongType())]
+    signed = materialize(map_arrow(d, sign, T.StructType([T.StructField(*f) for f in fields])), "signed")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("rep")
+    reps = signed.where("sid is not null").groupBy("sid").agg(rep, F.count("*").alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     reps = materialize(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices")
 
-    bands = reps.select("vid", F.explode("bands").alias("key"))
-    often = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = blocked(bands.join(often, "key").join(reps.select("vid", "marks"), "vid"), "key", "n", "vid", SKETCH_BLOCK)
-    met = met.select("key", "bi", "bj", "vid", "marks")
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, cut in runs(batches, "key", "bi", "bj"):
-            ids = batch.column("vid").to_numpy()
-            marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
-            cut = np.array(cut)
-            twos = cut[:-1][np.diff(cut) == 2]
-            twos = twos[(marks[twos] == marks[twos + 1]).sum(1) >= AGREE]
-            edges = [*zip(ids[twos].tolist(), ids[twos + 1].tolist(), strict=True)]
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if e - s > 2:
-                    edges += forest(ids[s:e], marks[s:e], AGREE)
-            yield {"a": [x for x, _ in edges], "b": [y for _, y in edges]}
-
-    proposed = map_arrow(met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "vid"), propose, "a long, b long")
+    bands = reps.select("vid", F.explode("bands").alias("g"))
+    often = materialize(bands.groupBy("g").agg(F.count("*").alias("n"), F.min("vid").alias("first")).where("n > 1"), "often")
+    met = bands.join(often, "g").join(reps.select("vid", "marks"), "vid").select("g", "first", "n", "vid", "marks")
+    proposed = _joined(met, SKETCH_BLOCK, agree, percent, not often.where(F.col("n") > SKETCH_BLOCK).isEmpty())
     clusters = materialize(components(proposed), "clusters")
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = clusters.withColumnRenamed("v", "vid").join(sizes, "root").join(reps.select("vid", "sid", "rep"), "vid")
-    texts = members.join(d, members["rep"].eqNullSafe(d["doc_id"])).select("root", "n", "vid", "sid", "text")
+    members = clusters.withColumnRenamed("v", "vid").join(sizes, "root").join(reps.select("vid", "rep.k1", "rep.k2"), "vid")
+    texts = d.select("k1", "k2", "text").join(members, ["k1", "k2"]).select("root", "n", "vid", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = WordHashes()
+        hashes, last = WordHashes(), None
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets = [shingle_set(t, hashes, shingle) for t in part.column("text").to_pylist()]
-                own = [i for i, (s, sid) in enumerate(zip(sets, part.column("sid").to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sid]
-                marks = sketches([sets[i] for i in own]).astype(np.uint8)
-                part = part.take(pa.array(own, pa.int64()))
-                yield {"root": part.column("root"), "n": part.column("n"), "vid": part.column("vid"), "marks": [m.tobytes() for m in marks], "shingles": [sets[i].tobytes() for i in own]}
-
-    kind = "root long, n long, vid long, marks binary, shingles binary"
-    full = materialize(map_arrow(texts, whole, kind), "sets")
-
-    # Large clusters: each set against that of the cluster's first vertex, which goes to as many tasks as need be.
-    large = full.where(F.col("n") > SET_BLOCK)
-    parts = F.ceil(F.col("n") / F.lit(STAR)).cast("int")
-    hubs = large.where("vid = root").dropDuplicates(["vid"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("hub", F.lit(True))
-    rays = large.withColumn("part", F.pmod(F.xxhash64("vid"), parts).cast("int")).withColumn("hub", F.lit(False))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        at, hub = None, np.empty(0, np.uint64)
-        for batch in batches:
-            roots, hubs_here, shingles = batch.column("root").to_pylist(), batch.column("hub").to_pylist(), batch.column("shingles").to_pylist()
-            own = [i for i, h in enumerate(hubs_here) if not h]
-            closed = []
-            for root, is_hub, x in zip(roots, hubs_here, shingles, strict=True):
-                if is_hub:
-                    at, hub = root, np.frombuffer(x, np.uint64)
-                else:
-                    closed.append(root == at and linked(hub, np.frombuffer(x, np.uint64), percent))
-            part = batch.take(pa.array(own, pa.int64()))
-            yield {**{c: part.column(c) for c in ("root", "n", "vid", "marks", "shingles")}, "closed": closed}
-
-    met_hub = rays.unionByName(hubs).repartition("root", "part").sortWithinPartitions("root", "part", F.desc("hub"))
-    star = materialize(map_arrow(met_hub, meet, kind + ", closed boolean"), "star")
-
-    # What the star leaves open meets everything of its cluster, block by block; what it closed needn't meet its like.
-    rest = star.where(~F.col("closed")).groupBy("root").agg(F.countDistinct("vid").alias("n_open"))
-    opens, alls = F.ceil(F.col("n_open") / F.lit(SET_BLOCK)).cast("int"), F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int") + 1
-    rest = star.join(rest, "root").withColumn("opens", opens).withColumn("alls", F.col("opens") + alls)
-    mine = F.when(F.col("closed"), F.col("opens") + F.pmod(F.xxhash64("vid"), F.col("alls") - F.col("opens"))).otherwise(F.pmod(F.xxhash64("vid"), F.col("opens"))).cast("int")
-    other = F.when(F.col("closed"), F.sequence(F.lit(0), F.col("opens") - 1)).otherwise(F.sequence(F.lit(0), F.col("alls") - 1))
-    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(other)).select("root", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "vid", "marks", "shingles", "closed")
-    small = full.where(F.col("n") <= SET_BLOCK).select("root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "vid", "marks", "shingles", F.lit(False).alias("closed"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, cut in runs(batches, "root", "bi", "bj"):
-            edges: list[tuple[int, int]] = []
-            ids = batch.column("vid").to_numpy()
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                own = batch.slice(s, e - s)
-                marks = np.frombuffer(b"".join(own.column("marks").to_pylist()), np.uint8).reshape(e - s, -1)
-                sets = [np.frombuffer(x, np.uint64) for x in own.column("shingles").to_pylist()]
-                closed = own.column("closed").to_numpy(zero_copy_only=False)
-                if not closed.all():
-                    edges += forest(ids[s:e], marks, AGREE, sets, percent, closed if closed.any() else None)
-            yield {"a": [x for x, _ in edges], "b": [y for _, y in edges]}
-
-    blocks = small.unionByName(rest).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "vid")
-    checked = map_arrow(blocks, verify, "a long, b long").unionByName(star.where("closed").select(F.col("root").alias("a"), F.col("vid").alias("b")))
-    joined = components(checked)
-
-    at = reps.select("vid", "sid", "rep").join(joined.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    least = at.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = at.join(least, "root").select("sid", "component_id", F.col("root").alias("class"), F.lit(True).alias("in_class"))
-    out = signed.select("doc_id", "n_shingles", "sid", *own).join(of, "sid", "left")
-    out = out.withColumn("component_id", F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *own, *(["class"] if rows else []))
+                ids = part.column("vid").to_pylist()
+                new = [i for i, v in enumerate(ids) if v != (ids[i - 1] if i else last)]  # a repeated row's set is made once
+                last = ids[-1]
+                part = part.take(pa.array(new, pa.int64()))
+                sets = [shingle_set(x, hashes, shingle) for x in part.column("text").to_pylist()]
+                marks = sketches(sets, t).astype(np.uint8)
+                yield {"g": part.column("root"), "first": part.column("root"), "n": part.column("n"), "vid": part.column("vid"), "marks": [m.tobytes() for m in marks], "shingles": [s.tobytes() for s in sets]}
+
+    full = materialize(map_arrow(texts, whole, "g long, first long, n long, vid long, marks binary, shingles binary"), "sets")
+    joined = components(_joined(full, SET_BLOCK, agree, percent, not full.where(F.col("n") > SET_BLOCK).isEmpty()))
+
+    at = reps.select("vid", "sid", "rep", "n_rows").join(joined.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    # a component of many vertices is no hot key here: its rows are one a text, and the least is found by parts first
+    least = at.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    n = signed.count()
+    of = spread_join(at, least.select("root", "n", F.struct("least.doc_id").alias("value")), ["root"], max(reps.count(), 1), "vid")
+    of = of.select("sid", F.col("n_rows").alias("n"), F.struct(F.col("value.doc_id").alias("component_id"), F.col("root").alias("class")).alias("value"))
+    out = spread_join(signed.select("doc_id", "n_shingles", "sid", "k1", "k2"), of, ["sid"], n, "k1")
+    out = out.withColumn("component_id", F.when(F.col("value").isNotNull(), F.col("value.component_id")).otherwise(F.col("doc_id")))
+    more = ["k1", "k2", F.col("value.class").alias("class")] if rows else []
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)

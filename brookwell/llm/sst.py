@@ -158,8 +158,8 @@ class ChunkEncoder:
 
     The vocabulary drops white space and no token spans it, so a text's ids are those of its chunks in turn; letters
     come in lower case, and a symbol after a letter begins a pre-token, so texts are cut there as well. Cutting, hashing
-    and putting ids together are array operations over many texts. Chunks are told apart by 64-bit hashes from a
-    random table. A text with a special token's name in it goes to the library whole.
+    and putting ids together are array operations over many texts. Chunks are found by 64-bit hashes from a random
+    table, then compared. A text with a special token's name in it goes to the library whole.
     """
 
     def __init__(self, path: str, most: int = 700_000) -> None:
@@ -218,7 +218,7 @@ class ChunkEncoder:
         raw = folded.tobytes()
         for w in np.flatnonzero(size > _PLACES).tolist():
             h[w] = xxhash.xxh3_64_intdigest(raw[start[w] : start[w] + size[w]])
-        flat, n = self.cache.ids(h, lambda i: raw[start[i] : start[i] + size[i]].decode("utf-8", "surrogatepass"), self._learn)
+        flat, n = self.cache.ids(h, np.frombuffer(raw, np.uint8), start, size, lambda i: raw[start[i] : start[i] + size[i]].decode("utf-8", "surrogatepass"), self._learn)
         ids = flat.astype("<u4").tobytes()
         edges = np.r_[0, np.cumsum(n)][np.searchsorted(np.flatnonzero(begin), offsets)].tolist()
         out = [ids[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
