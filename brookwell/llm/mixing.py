@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return s.select("source", "source_size", "n", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).cast("double").alias("target"))
 
 
-def row_keys(doc_id: str, text: str, seed: int = 17) -> tuple[Column, Column]:
+def row_keys(doc_id: str | Column, text: str | Column, seed: int = 17) -> tuple[Column, Column]:
     """Two 64-bit hashes of a row's id and text, never null: what a mixed row and its document are matched by."""
     return F.xxhash64(doc_id, text), F.xxhash64(text, doc_id, F.lit(seed))
 
@@ -52,6 +52,17 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(mean.between(3.5, 12), 1.0).when(mean.between(2.5, 20), 0.5).otherwise(0.25)
 
 
+def _weight_classes(d: DataFrame) -> DataFrame:
+    """source and classes: an array of (share of the source's documents, mean weight) for weights near each other.
+
+    Classes are half powers of two between 2 ** -20 and 2 ** 20, so there are 81 at most, whatever the weights are.
+    """
+    near = F.round(2 * F.log2("weight"))
+    one = d.groupBy("source", F.greatest(F.lit(-40), F.least(F.lit(40), near)).alias("near")).agg(F.count("*").alias("n"), F.avg("weight").alias("mean"))
+    found = one.groupBy("source").agg(F.sum("n").alias("all"), F.collect_list(F.struct("n", "mean")).alias("of"))
+    return found.select("source", F.transform("of", lambda c: F.struct((c["n"] / F.col("all")).alias("share"), c["mean"].alias("mean"))).alias("classes"))
+
+
 def _summed(d: DataFrame, most: Column | None = None) -> DataFrame:
     """With sum, the running sum of sizes in the order of a source's keys; stretches that begin at most or over it are left out."""
     sums = d.groupBy("source", "stretch").agg(F.sum("size").alias("sum"))
@@ -77,21 +88,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     several equal rows it is. Null ids and sources are values of their own. Other columns are ignored; an empty
     table gives an empty result.
 
-    No source is held in one task: keys of a source fall into stretches by the (known) law of keys, their sums are
-    added up in a small table, and running sums are made within a stretch.
+    No source is held in one task: keys of a source fall into stretches by the law of its keys (exponential, a part for
+    each of its weights), their sums are added up in a small table, and running sums are made within a stretch. A weight
+    that is null or not above 1e-6 counts as 1e-6.
     """
     d = clean_rows(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
     size = word_count(F.col("text"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    d = d.select("doc_id", "source", *(k.alias(n) for k, n in zip(row_keys("doc_id", "text"), ("k1", "k2"), strict=True)), size.alias("size"), (-F.log(u) / (quality_weight(F.col("text"), size) if weight is None else weight)).alias("key"))
-    d = materialize(d.withColumn("row", F.monotonically_increasing_id()), "sized")
+    own = F.greatest(F.coalesce(quality_weight(F.col("text"), size) if weight is None else weight, F.lit(0.0)), F.lit(1e-6)).cast("double")
+    d = d.select("doc_id", "source", *(k.alias(n) for k, n in zip(row_keys("doc_id", "text"), ("k1", "k2"), strict=True)), size.alias("size"), own.alias("weight"), (-F.log(u)).alias("key"))
+    d = materialize(d.withColumn("key", F.col("key") / F.col("weight")).withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
+    plan = plan.join(_weight_classes(d).withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c"))).drop("c")
     plan = plan.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     # a ratio a hair under a whole number is that number
     plan = plan.withColumn("epochs", F.floor(F.col("ratio") + 1e-9)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     d = d.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     stretches = F.ceil(F.col("n") / F.lit(STRETCH))
-    d = d.withColumn("stretch", F.floor((1 - F.exp(-F.col("key"))) * stretches))
+    before = F.aggregate("classes", F.lit(0.0), lambda n, c: n + c["share"] * (1 - F.exp(-F.col("key") * c["mean"])))
+    d = d.withColumn("stretch", F.floor(before * stretches)).drop("weight", "classes")
     d = materialize(_summed(d).withColumn("whole", (F.col("sum") <= F.col("rest")) & (F.col("size") > 0)), "drawn")
     gaps = d.where("rest > 0").groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0))).alias("gap"))
     gaps = materialize(gaps.withColumnRenamed("source", "s"), "gaps")
