@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import clean_rows, map_arrow, pieces
+from .common import clean_rows, fresh_name, map_arrow, pieces
 from .minhash import WordHashes
 from .rules import measures
 
@@ -165,23 +166,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return AdditiveModel().fit(x, np.array([float(r["y"] >= 1) for r in rows]))
 
 
-def scored(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Per row: id and score (0 to 1; null and empty texts too), or with keep_columns all columns and _score.
+def scored(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, score_col: str = "score") -> DataFrame:
+    """Per row: id and score_col (0 to 1; null and empty texts too), or with keep_columns all columns and then score_col,
+    or score_col with underscores where the table has a column of that name.
 
-    A narrow map; the model is a few lookup tables of fixed size.
+    A narrow map; the model is a few lookup tables of fixed size. Repeated rows and null ids stay, an empty table gives
+    an empty result, and texts are read whole.
     """
     d = docs if keep_columns else clean_rows(docs, id_col, text_col)
-    names = d.columns
+    names, score = [c for c in d.columns if keep_columns or c == id_col], fresh_name(d.columns if keep_columns else [id_col], score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
         for batch in batches:
             for part in pieces(batch, text_col):
                 x = np.array([features(t, hashes) for t in part.column(text_col).to_pylist()], float)
-                yield {**{c: part.column(c) for c in names if keep_columns or c == id_col}, "_score": model.score(x)}
+                yield {**{c: part.column(c) for c in names}, score: model.score(x)}
 
-    from pyspark.sql import types as T
-
-    kind = T.StructType([*(f for f in d.schema if keep_columns or f.name == id_col), T.StructField("_score", T.DoubleType())])
-    out = map_arrow(d, run, kind)
-    return out if keep_columns else out.withColumnRenamed("_score", "score")
+    return map_arrow(d, run, T.StructType([*(d.schema[c] for c in names), T.StructField(score, T.DoubleType())]))

@@ -69,7 +69,54 @@ def test_odd_rows(spark):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = gam.fit(table(spark, rows), marks)
     got = gam.scored(table(spark, corpus()), model, keep_columns=True).collect()
-    assert len(got) == len(corpus()) and all(0 <= r._score <= 1 for r in got) and got[0].score == "clash"
+    assert len(got) == len(corpus()) and all(0 <= r.score_ <= 1 for r in got) and got[0].score == "clash"
     assert gam.scored(table(spark, []), model).collect() == []
     none = gam.fit(table(spark, []), marks.limit(0))
     assert [r.score for r in gam.scored(table(spark, [(1, None, "en", "a", 0)]), none).collect()] == [0.5]
+
+
+def slow_score(model, x):
+    """The model read as it stands: for each feature the entry of the bin that the value lies in, added up."""
+
+    def bin_of(edges, v):
+        return sum(1 for e in edges if e < v)
+
+    f = model.base
+    for j, table_ in enumerate(model.tables):
+        f += table_[bin_of(model.edges[j], x[j])]
+    for i, j, a, b, grid in model.pairs:
+        f += grid[bin_of(a, x[i])][bin_of(b, x[j])]
+    return 1 / (1 + np.exp(-f))
+
+
+def test_scores_are_sums_of_entries():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((500, 4)) * 20) / 20
+    m = gam.AdditiveModel(rounds=20, pair_rounds=10).fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    probe = rng.random((50, 4)) * 1.4 - 0.2
+    assert np.allclose(m.score(probe), [slow_score(m, p) for p in probe], atol=1e-12)
+
+
+def gain_of(parts, ridge):
+    return sum(sum(g) ** 2 / (sum(h) + ridge) for g, h in parts)
+
+
+def test_trees_are_the_best_cuts():
+    """The first cut of a tree and the quadrants of a pair against a search of all cuts."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(2, 8))
+        g, h = rng.normal(size=n), rng.random(n) + 0.1
+        m = gam.AdditiveModel(leaves=2)
+        best = max(range(1, n), key=lambda i: gain_of([(g[:i], h[:i]), (g[i:], h[i:])], m.ridge))
+        if gain_of([(g[:best], h[:best]), (g[best:], h[best:])], m.ridge) - gain_of([(g, h)], m.ridge) > 1e-6:
+            want = [sum(g[:best]) / (sum(h[:best]) + m.ridge)] * best + [sum(g[best:]) / (sum(h[best:]) + m.ridge)] * (n - best)
+            assert np.allclose(m._tree(g, h), want)
+        a, b = int(rng.integers(2, 5)), int(rng.integers(2, 5))
+        g, h = rng.normal(size=(a, b)), rng.random((a, b)) + 0.1
+        found = 0.0
+        for x, y in ((g, h), (g.T, h.T)):
+            for i in range(1, len(x)):
+                halves = [max(gain_of([(p[:, :j].ravel(), q[:, :j].ravel()), (p[:, j:].ravel(), q[:, j:].ravel())], m.ridge) for j in range(1, x.shape[1])) for p, q in ((x[:i], y[:i]), (x[i:], y[i:]))]
+                found = max(found, sum(halves))
+        assert np.isclose(m._quadrants(g, h)[0], found)
