@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_rows, fresh_dir, map_arrow, materialize, open_read, open_write
+from .common import clean_rows, fresh_dir, map_arrow, materialize, open_read, open_write, spread_join
 
 #: Bytes of a payload chunk (about), of an archive before the next one begins.
 CHUNK, ARCHIVE = 1 << 20, 1 << 30
@@ -34,6 +34,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     done (bytes so far), last: a row for each chunk of a page's payload, one row with an empty frame for an empty one.
 
     rid is unique in the table as it is written; chunks are cut from the text, so a payload is never encoded whole.
+    Repeated rows and rows with a null id are records of their own; an empty table gives an empty one.
     """
     d = clean_rows(pages, id_col, url_col, text_col).toDF("page_id", "url", "html")
     names = ("rid", "page_id", "url", "chunk_no", "data", "digest", "check", "done", "last")
@@ -68,14 +69,16 @@ def roles(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
     """rid, payload_bytes, payload_digest, record_type, refers_to: of records with equal payloads of at least
     least_bytes the one with the smallest page_id is the response, the others revisit it; smaller ones are responses.
 
-    Payloads are equal if length, SHA-1 and BLAKE2b are. A null page_id comes after all others.
+    Payloads are equal if length, SHA-1 and BLAKE2b are. A null page_id comes after all others; of records with one id
+    the first of the chunk table does. A payload that very many records have is spread over tasks. An empty table gives
+    an empty result.
     """
     heads = chunks.where("last").select("rid", "page_id", F.col("done").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "check")
     key = ["payload_digest", "check", "payload_bytes"]
-    first = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*key).agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")).alias("first"))
-    of = heads.join(first, key, "left")
-    again = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
-    return of.select("rid", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.rid")).alias("refers_rid"))
+    first = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")).alias("value"))
+    of = spread_join(heads, first, key, heads.count(), "rid")
+    again = F.col("value").isNotNull() & (F.col("value.rid") != F.col("rid"))
+    return of.select("rid", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("value.page_id")).alias("refers_to"), F.when(again, F.col("value.rid")).alias("refers_rid"))
 
 
 def record_id(rid: int) -> str:
@@ -124,23 +127,30 @@ class ArchiveWriter:
         self.out.close()
 
 
-def write_archives(chunks: DataFrame, of: DataFrame, archive: int = ARCHIVE) -> DataFrame:
-    """Archives in the shared folder; the manifest as a table: uri, n_records.
+def write_archives(chunks: DataFrame, of: DataFrame, archive: int = ARCHIVE, folder: str | None = None) -> DataFrame:
+    """Archives in the folder (by default one that goes with the application); the manifest as a table: uri, n_records.
 
-    Chunks meet their record's role by rid; that exchange also deals and sorts the archives. A revisit brings its first
-    row alone. Each attempt of a task writes files of its own and the manifest, committed by Spark, names those that count.
+    Chunks are dealt by rid to a fixed number of tasks, so that no plan and no split of a file parts those of a record;
+    roles meet them there. A revisit brings its first row alone. A task checks that a record's chunks run on without a
+    gap. Each attempt of a task writes files of its own and the manifest, committed by Spark, names those that count.
+    Repeated rows of the pages are records of their own; an empty table writes no archive.
     """
-    folder = fresh_dir(chunks.sparkSession, "warc")
-    rows = chunks.select("rid", "page_id", "url", "chunk_no", "data", "last").join(of, "rid").where("record_type = 'response' or chunk_no = 0")
+    spark = chunks.sparkSession
+    folder = (folder or fresh_dir(spark, "warc")).rstrip("/")
+    rows = chunks.select("rid", "page_id", "url", "chunk_no", "data", "last").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid")
+    rows = rows.join(of, "rid").where("record_type = 'response' or chunk_no = 0")
     rows = rows.withColumn("data", F.when(F.col("record_type") == "response", F.col("data")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         made: list[tuple[str, int]] = []
         unpack = zstandard.ZstdDecompressor().decompress
         out: ArchiveWriter | None = None
+        begun: tuple[int, int] | None = None  # the record that is being written, and its next chunk
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if (begun or (r["rid"], 0)) != (r["rid"], r["chunk_no"]):
+                    raise ValueError(f"chunk {r['chunk_no']} of record {r['rid']} comes where {begun or 0} is due")
                 if r["chunk_no"] == 0:
                     if out and out.size >= archive:
                         out.close()
@@ -150,8 +160,12 @@ def write_archives(chunks: DataFrame, of: DataFrame, archive: int = ARCHIVE) ->
                     out.begin(r["rid"], r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_rid"], r["refers_to"])
                 if r["data"]:
                     out.write(unpack(r["data"]))
+                begun = (r["rid"], r["chunk_no"] + 1)
                 if r["last"] or r["record_type"] == "revisit":
                     out.end()
+                    begun = None
+        if begun:
+            raise ValueError(f"record {begun[0]} ends before its last chunk")
         if out:
             out.close()
             made.append((out.uri, out.n))
@@ -202,7 +216,8 @@ def payload(block: Iterator[bytes]) -> Iterator[bytes]:
 
 def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Per record: page id, payload_bytes, payload_digest, record_type, refers_to. A response's length and digest are
-    made anew from its payload and must agree with its header; a revisit has them in its header."""
+    made anew from its payload and must agree with its header; a revisit has them in its header. A row a record, repeated
+    ones too; an empty manifest gives an empty result. A payload is read as a stream, however long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -227,7 +242,8 @@ def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
                     yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(manifest.select("uri").repartition(parts, "uri"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("page_id", id_col)
+    dealt = manifest.select("uri", F.row_number().over(Window.orderBy("uri")).alias("at")).repartitionById(parts, F.col("at") % parts)  # a row an archive
+    return map_arrow(dealt, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("page_id", id_col)
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

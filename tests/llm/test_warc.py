@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 import zstandard
 
 from brookwell.llm import warc
@@ -52,3 +53,38 @@ def test_archives_roll_over_and_read_as_warc(spark):
 
 def test_empty_table(spark):
     assert warc.archived(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_chunks_of_a_record_in_several_splits(spark, monkeypatch):
+    """Payloads of over a hundred chunks in small row groups, read in small splits, with a broadcast join of the roles."""
+    monkeypatch.setattr(warc.chunk_table, "__defaults__", ("page_id", "url", "html", 20_000))
+    jvm = spark.sparkContext._jsc.hadoopConfiguration()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    jvm.set("parquet.block.size", "65536")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        import random
+
+        rng = random.Random(1)
+        noise = ["".join(map(chr, (rng.randrange(33, 5000) for _ in range(50_000)))) for _ in range(4)]
+        big = [(i, "u", "".join(rng.choice(noise) for _ in range(44)), "", "") for i in range(4)] + [(9, "u", "small", "", "")]
+        chunks = warc.chunk_table(spark.createDataFrame([*big, (10, "u", big[2][2], "", "")], KIND))
+        assert chunks.rdd.getNumPartitions() > 3 and chunks.where("rid = 0").count() + chunks.where("page_id = 2").count() > 100
+        got = warc.read_archives(warc.write_archives(chunks, warc.roles(chunks))).collect()
+        assert sorted(str(tuple(r)) for r in got) == expected([*big, (10, "u", big[2][2])])
+    finally:
+        jvm.unset("parquet.block.size")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_lost_chunk_is_an_error(spark):
+    chunks = warc.chunk_table(spark.createDataFrame([(1, "u", "abc" * 1000, "", "")], KIND), chunk=500)
+    for gone in ("chunk_no = 2", "chunk_no = 0", "last"):
+        with pytest.raises(Exception, match="chunk"):
+            warc.write_archives(chunks.where(f"not ({gone})"), warc.roles(chunks))
+
+
+def test_a_payload_that_most_records_have(spark):
+    many = [(i, "u", "the same" if i % 3 else f"own {i}", "", "") for i in range(3000)]
+    got = warc.archived(spark.createDataFrame(many, KIND)).collect()
+    assert sorted(str(tuple(r)) for r in got) == expected(many)
