@@ -6,6 +6,7 @@ import os
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ FOOTER = struct.Struct("<QQQQQI8s")  # index at, index bytes, bloom at, bloom by
 ENTRY = struct.Struct("<BBI")  # bytes of the key shared with the one before, own bytes, bytes of the value
 BLOCK = 256 << 10
 BITS_PER_KEY, HASHES = 10, 7
+#: Bytes of text that go to a shard (about), and shards at most; a shard is written as a stream, however large.
+SHARD, SHARDS = 128 << 20, 20_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -49,7 +52,7 @@ class ShardWriter:
         self.at, self.n = 0, 0
         self.block, self.last, self.first = bytearray(), b"", b""
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.keys: list[bytes] = []  # distinct ones
         self.pack = zstandard.ZstdCompressor(level=1).compress
         self._put(MAGIC)
 
@@ -236,22 +239,29 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Encode, append end_id to each document, write shards in ascending order of ids; the manifest as a table:
-    shard, uri, n_docs, n_ids, start (ids in shards before it).
+def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, folder: str | None = None) -> DataFrame:
+    """Encode, append end_id to each document, write shards in ascending order of ids to the folder (by default one that
+    goes with the application); the manifest as a table: shard, uri, first_key, last_key (see key_of), n_docs, n_ids,
+    start (ids in shards before it).
 
-    Null texts count as empty: the end id alone. Documents with one id stand together, in the order of their ids'
-    bytes; a null id comes first. Only id and text are read. An empty table gives no shards.
+    Null texts count as empty: the end id alone. Documents with one id stand together, in the order of a hash of their
+    text, then of their ids' bytes; a null id comes first. Only id and text are read. An empty table gives no shards.
 
-    Bounds between shards come from approximate quantiles of the id alone, so the token ids move once. Each attempt of
-    a task writes files of its own, and the manifest (a table, committed by Spark) names those that count.
+    There are as many shards as tasks of a shuffle, more where a shard would get over SHARD bytes of text. Bounds between
+    them come from approximate quantiles of the id alone, so the token ids move once; an id with so many documents that
+    it stands at several bounds has its documents dealt to the shards between these by the hash. Each attempt of a task
+    writes files of its own, and the manifest (a table, committed by Spark) names those that count.
     """
     spark = docs.sparkSession
     d = clean_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    folder = fresh_dir(spark, "sst")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bounds = np.unique(np.array(found if n > 1 else [], np.int64))
+    folder = (folder or fresh_dir(spark, "sst")).rstrip("/")
+    if not (n := shards or 0):
+        n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = min(SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD)))
+    least = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    found = d.agg(F.percentile_approx(least, [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []
+    bounds = np.array(found if n > 1 else [], np.int64)
+    d = d.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import public_tokenizers
@@ -263,18 +273,20 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
             for part in pieces(batch, "text", 2 << 20):
                 ids = part.column("doc_id")
                 known = np.array([-(1 << 63) if i is None else i for i in ids.to_pylist()], np.int64)
-                yield {"shard": np.searchsorted(bounds, known, "left").astype(np.int32), "doc_id": ids, "ids": [x + end for x in coder(part.column("text"))]}
+                at, to = (np.searchsorted(bounds, known, side) for side in ("left", "right"))
+                shard = at + (part.column("h").to_numpy() * np.maximum(to - at, 1) >> 20)
+                yield {"shard": shard.astype(np.int32), "doc_id": ids, "h": part.column("h"), "ids": [x + end for x in coder(part.column("text"))]}
 
-    coded = map_arrow(d, encode, "shard int, doc_id long, ids binary")
+    coded = map_arrow(d, encode, "shard int, doc_id long, h long, ids binary")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         writer, at, uri, size = None, None, "", 0
-        made: list[tuple[int, str, int, int]] = []
+        made: list[tuple[int, str, bytes, bytes, int, int]] = []
 
         def end() -> None:
             if writer:
                 writer.close()
-                made.append((at, uri, writer.n, size))
+                made.append((at, uri, writer.keys[0], writer.keys[-1], writer.n, size))
 
         for batch in batches:
             for shard, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
@@ -285,17 +297,18 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
                 writer.add(doc_id, ids)
                 size += len(ids) // 4
         end()
-        a, b, c, e = zip(*made, strict=True) if made else ((), (), (), ())
-        yield {"shard": list(a), "uri": list(b), "n_docs": list(c), "n_ids": list(e)}
+        names = ("shard", "uri", "first_key", "last_key", "n_docs", "n_ids")
+        yield dict(zip(names, map(list, zip(*made, strict=True)) if made else ([] for _ in names), strict=True))
 
-    ordered = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    manifest = materialize(map_arrow(ordered, write, "shard int, uri string, n_docs long, n_ids long"), "manifest")
+    ordered = coded.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "h", "ids")
+    manifest = materialize(map_arrow(ordered, write, "shard int, uri string, first_key binary, last_key binary, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document of the shards: id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
+    """Per document of the shards: id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers). Documents
+    that were repeated come as often; an empty manifest gives an empty result. A shard is read block by block."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -313,4 +326,45 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), map(list, zip(*rows, strict=True)), strict=True))
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(manifest.select("uri", "start").repartition(parts, "uri"), read, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", id_col)
+    return map_arrow(manifest.select("shard", "uri", "start").repartitionById(parts, F.col("shard") % parts), read, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", id_col)
+
+
+def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids (array<int>) of the documents whose id is among those wanted: a row a document, several where
+    several bear the id, none for an unknown one. Ids that are wanted more than once count once; null finds null.
+
+    The manifest (a row a shard, SHARDS at most) comes to the driver; a wanted id is dealt to the shards whose key range
+    it lies in, one but for an id that fills several, and only these are opened. There Bloom filter and index say which
+    block to read, if any.
+    """
+    shards = manifest.select("shard", "uri", "first_key", "last_key").orderBy("shard").collect()
+    uris, first, last = [s.uri for s in shards], [bytes(s.first_key) for s in shards], [bytes(s.last_key) for s in shards]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            rows: list[tuple[int, int | None]] = []
+            for i in batch.column("doc_id").to_pylist():
+                key = key_of(i)
+                at = bisect_left(last, key)
+                while at < len(first) and first[at] <= key:
+                    rows.append((at, i))
+                    at += 1
+            yield {"at": [a for a, _ in rows], "doc_id": [i for _, i in rows]}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        at, shard = None, None
+        for batch in batches:
+            for own, i in zip(batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if own != at:
+                    if shard:
+                        shard.close()
+                    at, shard = own, ShardReader(uris[own])
+                if found := shard.get(i):
+                    yield {"doc_id": [i] * len(found), "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in found]}
+        if shard:
+            shard.close()
+
+    ids = clean_rows(wanted, id_col).toDF("doc_id").select(F.col("doc_id").cast("long")).distinct()
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = map_arrow(ids, deal, "at int, doc_id long").repartition(parts, "at").sortWithinPartitions("at", "doc_id")
+    return map_arrow(dealt, read, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)

@@ -55,7 +55,29 @@ def test_table(spark):
     assert sst.read_shards(sst.write_shards(table(spark, []))).collect() == []
 
 
-def test_lookup_in_shards(spark):
-    manifest = sst.write_shards(table(spark, [(i, f"word{i}", "en", "a", 0) for i in range(50)]), shards=3).collect()
-    assert sum(m.n_docs for m in manifest) == 50
-    assert sum(len(sst.ShardReader(m.uri).get(33)) for m in manifest) == 1
+def test_lookup_opens_one_shard(spark, monkeypatch):
+    rows = [(3 * i, f"word{i} and more", "en", "a", 0) for i in range(200)] + [(9, "another text", "en", "a", 0), (None, "no id", "en", "a", 0)]
+    manifest = sst.write_shards(table(spark, rows), shards=5)
+    assert manifest.agg({"n_docs": "sum"}).first()[0] == len(rows) and manifest.count() == 5
+    wanted = spark.createDataFrame([(9, "x"), (300, "x"), (300, "x"), (301, "x"), (10**12, "x"), (None, "x")], "doc_id long, ids string")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted(str((r[0], [*library.encode(r[1], add_special_tokens=False).ids, 2])) for r in rows if r[0] in (9, 300, None))
+    assert sorted(str((r.doc_id, r.ids)) for r in sst.lookup(manifest, wanted).collect()) == want
+    keys = [(bytes(m.first_key), bytes(m.last_key)) for m in manifest.orderBy("shard").collect()]
+    assert all(sum(a <= sst.key_of(i) <= b for a, b in keys) <= 1 for i in range(0, 600))
+    assert sst.lookup(manifest, wanted.limit(0)).collect() == [] == sst.lookup(sst.write_shards(table(spark, [])), wanted).collect()
+
+
+def test_an_id_that_most_documents_have(spark):
+    """Null or not, its documents go to several shards and stay in order."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of many", "en", "a", 0) for i in range(600)]
+    manifest = sst.write_shards(table(spark, rows), shards=9)
+    sizes = [m.n_docs for m in manifest.collect()]
+    assert len(sizes) > 6 and max(sizes) < 150
+    got = sst.read_shards(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    assert len(sst.lookup(manifest, spark.createDataFrame([(7,)], "doc_id long")).collect()) == 200
