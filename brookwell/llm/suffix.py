@@ -22,8 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import clean_rows, map_arrow, materialize, pieces, runs
 
-#: Bytes of an anchor; must be a power of two below the length of a repeated string.
-ANCHOR = 128
+#: Bytes of text of a bucket (about): what one call holds in memory at once.
+BUCKET = 128 << 20
 #: Places of one anchor with contexts of their own beyond which their windows are compared by hashes, as a stream.
 WIDE = 20_000
 _SYMBOLS = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, np.uint64)
@@ -183,6 +183,13 @@ def reach(heads: np.ndarray, left: list[bytes], right: list[bytes], span: int) -
     return far, near
 
 
+def anchor_size(length: int) -> int:
+    """Bytes of an anchor: the greatest power of two below the length of a repeated string."""
+    if length < 2:
+        raise ValueError("length must be 2 at least")
+    return 1 << ((length - 1).bit_length() - 1)
+
+
 # --- anchors --------------------------------------------------------------------------------------------------------
 
 
@@ -194,7 +201,7 @@ def _spread(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(x) - width + 1], out[width - done : len(x) - done + 1]) if done < width else out
 
 
-def anchors(data: bytes, length: int, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-grams that are a minimum of some window of length bytes."""
     if len(data) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -211,7 +218,7 @@ def anchors(data: bytes, length: int, k: int = ANCHOR) -> tuple[np.ndarray, np.n
     return at, h[at]
 
 
-def context_hashes(data: bytes, at: np.ndarray, span: int, k: int = ANCHOR) -> np.ndarray:
+def context_hashes(data: bytes, at: np.ndarray, span: int, k: int) -> np.ndarray:
     """64-bit hashes of the contexts of the anchors; one cut off by a document's end only equals one cut off alike."""
     n, digest = len(data), xxhash.xxh3_64_intdigest
     view = memoryview(data)
@@ -248,11 +255,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (4) Contexts of an anchor are sorted deep-shallow; what windows are repeated follows; the windows of an anchor with
     more than WIDE contexts are compared by 128-bit hashes instead, as a sorted stream. (5) Texts take the spans in.
     Texts are dealt out once, by a hash of the text, a copy a task at most, and both (3) and (5) read that exchange.
+    There are as many buckets of texts and of anchors as their bytes ask for (BUCKET); a task takes its buckets in turn.
     """
     spark = docs.sparkSession
-    buckets = partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    span = length - ANCHOR
+    anchor = anchor_size(length)
+    span = length - anchor
     d = clean_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    parts = partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    buckets = max(parts, -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     d = d.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64("text", F.lit(7)))
 
     def bucket_of(keys: np.ndarray) -> np.ndarray:
@@ -273,7 +283,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Places as FULL rows: all of the context goes."""
         out = np.zeros(len(rows), FULL)
         out["ctx"], out["doc"], out["pos"] = rows["ctx"], rows["doc"], rows["pos"]
-        out["start"], out["end"] = np.maximum(rows["pos"].astype(np.int64) - span, 0), rows["pos"] + np.uint32(ANCHOR + span)
+        out["start"], out["end"] = np.maximum(rows["pos"].astype(np.int64) - span, 0), rows["pos"] + np.uint32(anchor + span)
         return out
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -282,10 +292,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 made = [np.empty(0, PLACE)]
                 for text, key in zip(part.column("text").to_pylist(), part.column("k1").to_pylist(), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
-                    at, head = anchors(data, length)
+                    at, head = anchors(data, length, anchor)
                     if len(at):
                         own = np.zeros(len(at), PLACE)
-                        own["head"], own["pos"], own["ctx"], own["doc"] = head, at, context_hashes(data, at, span), key
+                        own["head"], own["pos"], own["ctx"], own["doc"] = head, at, context_hashes(data, at, span, anchor), key
                         made.append(own)
                 rows = np.concatenate(made)
                 rows = rows[np.lexsort((rows["ctx"], rows["head"]))]
@@ -324,7 +334,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["own"] = ~many[ask] + 2 * np.repeat(np.add.reduceat(ask.astype(np.int64), head) > WIDE, classes)[ask]
                 yield columns([*packed(full, "doc", 1), *packed(out, "doc", 2)])
 
-    judged = map_arrow(found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "sort"), judge, blob_kind)
+    judged = map_arrow(found.repartition(parts, "bucket").sortWithinPartitions("bucket", "sort"), judge, blob_kind)
     # read twice, and its own input is a scan of all texts
     judged = materialize(judged, "places")
 
@@ -336,7 +346,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             part = batch.take(pa.array(new, pa.int64()))
             yield {"bucket": bucket_of(part.column("k1").to_numpy()), "k1": part.column("k1"), "k2": part.column("k2"), "text": part.column("text")}
 
-    texts = map_arrow(d.select("k1", "k2", "text"), once, T.StructType([T.StructField("bucket", T.LongType()), *(d.schema[c] for c in ("k1", "k2", "text"))])).repartition(buckets, "bucket")
+    texts = map_arrow(d.select("k1", "k2", "text"), once, T.StructType([T.StructField("bucket", T.LongType()), *(d.schema[c] for c in ("k1", "k2", "text"))])).repartition(parts, "bucket")
 
     def joined(sort: int, table: DataFrame, fn, schema: str) -> DataFrame:
         """fn over the texts of each bucket and its packed rows, by cogroup."""
@@ -354,10 +364,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for k1, k2, text in zip(left.column("k1").to_pylist(), left.column("k2").to_pylist(), left.column("text"), strict=True):
             data = text.as_py().encode("utf-8", "surrogatepass")
             own = rows[np.searchsorted(rows["doc"], k1, "left") : np.searchsorted(rows["doc"], k1, "right")]
-            own = own[own["pos"].astype(np.int64) + ANCHOR <= len(data)]
+            own = own[own["pos"].astype(np.int64) + anchor <= len(data)]
             if len(own):
                 at, back = np.unique(own["pos"].astype(np.int64), return_inverse=True)
-                own = own[context_hashes(data, at, span)[back] == own["ctx"]]
+                own = own[context_hashes(data, at, span, anchor)[back] == own["ctx"]]
             yield k1, k2, data, own
 
     def ask(left: pa.Table, blob: bytes) -> dict:
@@ -376,7 +386,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for r in own:
                 p, ctx, mine = int(r["pos"]), int(r["ctx"].view(np.int64)), int(r["own"]) & 1
                 if r["own"] < 2:
-                    put(-1, int(r["head"].view(np.int64)), ctx, k1, p, mine, data[max(0, p - span) : p][::-1], data[p + ANCHOR : p + ANCHOR + span])
+                    put(-1, int(r["head"].view(np.int64)), ctx, k1, p, mine, data[max(0, p - span) : p][::-1], data[p + anchor : p + anchor + span])
                     continue
                 for o in range(max(0, p + length - len(data)), min(span, p) + 1):
                     digest = xxhash.xxh3_128_digest(data[p - o : p - o + length], o)  # by offset: else a place meets itself
@@ -420,7 +430,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             start = batch.column("pos").to_numpy() - batch.column("window").to_numpy()
             yield spans_of(batch, hit & (batch.column("own").to_numpy() == 1), start, start + length)
 
-    by = contexts.repartition(buckets, "head").sortWithinPartitions(F.col("window") >= 0, "head", "lefts")
+    by = contexts.repartition(parts, "head").sortWithinPartitions(F.col("window") >= 0, "head", "lefts")
     partial = map_arrow(by, order, blob_kind)
 
     def cut(left: pa.Table, blob: bytes) -> dict:

@@ -19,11 +19,11 @@ def test_deep_shallow_order(items):
     assert [items[i] for i in order] == sorted(items)
 
 
-def check(spark, rows):
-    got = sorted((str(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256) for r in suffix.repeated_spans(table(spark, rows)).collect())
+def check(spark, rows, length=200):
+    got = sorted((str(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256) for r in suffix.repeated_spans(table(spark, rows), length=length).collect())
     texts = [(t or "").encode() for _, t, *_ in rows]
     want = []
-    for (i, *_), t, hit in zip(rows, texts, repeated_bytes(texts, 200), strict=True):
+    for (i, *_), t, hit in zip(rows, texts, repeated_bytes(texts, length), strict=True):
         edges = [k for k in range(len(t) + 1) if (k < len(t) and hit[k]) != (k > 0 and hit[k - 1])]
         want.append((str(i), len(t), [*zip(edges[::2], edges[1::2], strict=True)], hashlib.sha256(bytes(b for b, h in zip(t, hit, strict=True) if not h)).hexdigest()))
     assert got == sorted(want)
@@ -50,6 +50,24 @@ def test_edges_of_shared_passages(spark, monkeypatch, wide):
     check(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
 
 
+@pytest.mark.parametrize("length", [100, 33, 2])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(2 * length))
+    texts = ["".join(chr(rng.randrange(33, 3000)) for _ in range(30)) + shared[rng.randrange(length) :] for _ in range(8)]
+    check(spark, [(i, t, "en", "a", 0) for i, t in enumerate([*texts, shared[: length - 1], shared[:length], None])], length)
+
+
+def test_too_short_a_length(spark):
+    with pytest.raises(ValueError):
+        suffix.repeated_spans(table(spark, []), length=1)
+
+
+def test_more_buckets_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET", 500)
+    check(spark, corpus(5, 30))
+
+
 def test_empty_table(spark):
     assert suffix.repeated_spans(table(spark, [])).collect() == []
 
