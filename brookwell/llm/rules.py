@@ -6,7 +6,7 @@ import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from math import lgamma, log, log1p
+from math import lgamma, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -74,26 +74,42 @@ RULES = (
 )
 
 
+def log_binomial(rejected: int, n: int, p: float) -> float:
+    """log P(X <= rejected) of n draws at a rate p above rejected / n: the terms fall from the last one on, so those of a
+    few widths of the distribution hold all that a double can."""
+    terms = min(rejected, int(60 * sqrt(n * p * (1 - p))) + 60)
+    k = np.arange(rejected, rejected - terms, -1, dtype=np.float64)
+    ratios = np.log(k) + log1p(-p) - np.log(n - k + 1) - log(p)  # of the term at k - 1 to that at k
+    last = lgamma(n + 1) - lgamma(rejected + 1) - lgamma(n - rejected + 1) + rejected * log(p) + (n - rejected) * log1p(-p)
+    return last + log1p(float(np.exp(np.cumsum(ratios)).sum()))
+
+
 def binomial_upper(rejected: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the rate at which so few rejections out of n have probability delta (upper bound at 1 - delta)."""
     if n == 0 or rejected >= n:
         return 1.0
-
-    def tail(p: float) -> float:  # log P(X <= rejected)
-        terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(rejected + 1)]
-        top = max(terms)
-        return top + log(sum(np.exp(np.array(terms) - top)))
-
     low, high = rejected / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        if mid <= 0 or mid >= 1 or tail(mid) > log(delta):
+        if mid <= 0 or mid >= 1 or log_binomial(rejected, n, mid) > log(delta):
             low = mid
         else:
             high = mid
     return high
 
 
+def most_rejected(n: int, most: float, delta: float) -> int:
+    """The greatest number of rejections out of n for which the upper bound is at most `most`; -1 if there is none."""
+    low, high = -1, int(n * most)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if mid < n * most and log_binomial(mid, n, most) <= log(delta):
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, most: float, delta: float, price: float = 20.0, share: float = 0.02) -> int | None:
     """A bin to cut at (bins at and over it fail), or None. good and bad: labelled documents in each bin.
 
@@ -103,11 +119,11 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, most: float, delta: float,
     most lenient.
     """
     n, best, at = int(good.sum()), share * int(bad.sum()), None
-    delta /= max(1, len(good) - 1)
+    allowed = most_rejected(n, most, delta / max(1, len(good) - 1)) if 0 < most < 1 else -1 if most <= 0 else n
     lost, caught = 0, 0
     for i in range(len(good) - 1, 0, -1):
         lost, caught = lost + int(good[i]), caught + int(bad[i])
-        if binomial_upper(lost, n, delta) > most:
+        if lost > allowed:
             break
         if caught - price * lost > best:
             best, at = caught - price * lost, i

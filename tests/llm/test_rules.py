@@ -34,6 +34,25 @@ def test_binomial_bound_is_exact():
     assert rules.binomial_upper(5, 5, 0.1) == rules.binomial_upper(0, 0, 0.1) == 1.0
 
 
+def test_most_rejected_goes_by_the_bound():
+    for n in (0, 1, 20, 150, 1000):
+        for most, delta in ((0.03, 0.01), (0.2, 1e-4)):
+            ok = [k for k in range(n) if rules.binomial_upper(k, n, delta) <= most]
+            assert rules.most_rejected(n, most, delta) == max(ok, default=-1)
+
+
+def test_ten_million_labels_are_quick():
+    import time
+
+    good, bad = np.full(151, 20), np.full(151, 5000)
+    good[0] = 10_000_000 - 3000
+    began = time.time()
+    for _ in range(28):
+        at = rules.choose_cutoff(good, bad, 0.03, 0.05 / 28)
+        rules.binomial_upper(int(good[at:].sum()), int(good.sum()), 1e-6)
+    assert at == 1 and time.time() - began < 5
+
+
 def test_false_rejection_is_bounded():
     """Over many draws the true rate of the chosen cutoff goes over the limit no more often than delta."""
     rng = np.random.default_rng(1)
@@ -87,6 +106,26 @@ def test_rules_share_the_limit(spark):
     assert measured.join(labels.where("quality = 1"), "id").where(reduce(operator.or_, hit)).count() <= 0.03 * 4000
 
 
+def test_verdicts_lose_few_good_documents():
+    """Many draws of labelled documents with all rules at once: what all cutoffs together reject of new good documents
+    goes over the limit no more often than delta."""
+    rng = np.random.default_rng(7)
+    over, some = 0, 0
+    for _ in range(150):
+        left, cuts, n = 0.05, [], 1500
+        good = np.minimum(rng.geometric(0.2, (n, len(rules.RULES))), 40)
+        bad = np.minimum(rng.geometric(0.05, (n, len(rules.RULES))), 40)
+        own = 0.1 / len(rules.RULES)
+        for r in range(len(rules.RULES)):
+            g, b = (np.bincount(x[:, r], minlength=41) for x in (good, bad))
+            if (at := rules.choose_cutoff(g, b, left, own, price=0.0)) is not None:
+                cuts.append(at)
+                left -= rules.binomial_upper(int(g[at:].sum()), n, own / 40)
+        some += bool(cuts)
+        over += 1 - np.prod([1 - 0.8 ** (at - 1) for at in cuts]) > 0.05
+    assert some > 140 and over <= 150 * 0.1
+
+
 def test_without_labels_or_rows(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = rules.judge(table(spark, corpus()), marks).collect()
