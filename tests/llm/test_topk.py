@@ -25,7 +25,9 @@ def brute(rows, k, every):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 50)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "PART", 100)
     monkeypatch.setattr(topk, "FIRST", 4)
+    monkeypatch.setattr(topk, "BATCH", 3)
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
     vectors[100:140] = vectors[100]
@@ -53,3 +55,27 @@ def test_bounds_hold_and_spare_work():
     assert (bounds >= scores).all()
     kth = np.sort(scores, axis=1)[:, -20]
     assert (bounds >= kth[:, None]).mean() < 0.5
+
+
+def test_clustered_vectors_go_in_the_order_of_their_bounds():
+    """The k best over several blocks, most of it without a look at the other rows."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 100
+    rows = np.floor(centres[rng.integers(0, 12, 4000)] + rng.normal(size=(4000, 16)) * 3)
+    ids, found = np.arange(4000), [(np.empty(0, np.int64), np.empty(0, np.int64))] * 40
+    blocks = [topk.PivotBlock(ids[s : s + 1000], rows[s : s + 1000]) for s in range(0, 4000, 1000)]
+    for b in blocks:
+        b.search(ids[:40], rows[:40], 20, found)
+    scores = (rows[:40] @ rows.T).astype(np.int64)
+    for q, (i, v) in enumerate(found):
+        want = sorted((-scores[q, x], x) for x in range(4000) if x != q)[:20]
+        assert [*zip((-v).tolist(), i.tolist(), strict=True)] == want
+    assert not any(b.in_products for b in blocks) and sum(b.in_order for b in blocks) < 0.3 * 40 * 4000
+
+
+def test_wide_vectors_and_large_numbers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=3000) * (1e3 if i % 2 else 1e-2))], 0, "", "") for i in range(60)]
+    rows += [(100, [], 0, "", ""), (120, [], 0, "", "")]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, KIND), 5, F.col("vec_id") % 20 == 0).collect()}
+    assert got == brute(rows, 5, 20)
