@@ -19,7 +19,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
