@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ class Table:
     parts: list[str] = field(default_factory=list)
     version: int = 0
     streams: dict[str, int] = field(default_factory=dict)
+    #: Another one for a table that is created anew under an old name.
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def schema(self) -> T.StructType:
@@ -100,13 +102,20 @@ def defined(statement: CreateTable, catalog: "Catalog") -> Table:
 
 
 class Catalog:
-    """Tables kept by the engine, and read-only DataFrames registered under a name."""
+    """Tables kept by the engine, and read-only DataFrames registered under a name.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.store = spark, Store(spark, root)
+    A change of several tables is written to a journal first; manifests follow, then the journal goes. One that is found
+    when a catalog opens, or after an error, is carried out, so such a change has happened wholly or not at all.
+    With cache, tables that are read stay in the executors' memory and on their disks.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, cache: bool = False) -> None:
+        self.spark, self.store, self.cache = spark, Store(spark, root), cache
         self.tables: dict[str, Table] = {}
         self.views: dict[str, DataFrame] = {}
         self.indexes: dict[str, tuple[str, str]] = {}
+        self._cached: dict[str, tuple[tuple[str, int], DataFrame]] = {}
+        self._redo()
         for name in self.store.names(self.store.path("tables")):
             if text := self.store.read(self.store.path("tables", name, "manifest.json")):
                 known = json.loads(text)
@@ -124,14 +133,27 @@ class Catalog:
             raise UnknownTable(f"{name} can't be changed" if name in self.views else f"unknown table {name}")
         return self.tables[name]
 
-    def version(self, name: str) -> int:
-        return self.tables[name].version if name in self.tables else 0
+    def state(self, name: str) -> tuple[str, int]:
+        """What another version of the table, or another table of that name, doesn't have."""
+        table = self.tables.get(name)
+        return (table.uid, table.version) if table else ("", 0)
 
     def read(self, name: str) -> DataFrame:
         """A scan of the current version; later versions don't touch its files."""
         if name in self.views:
             return self.views[name]
-        return self.read_parts(self.table(name), self.table(name).parts)
+        table = self.table(name)
+        if not self.cache:
+            return self.read_parts(table, table.parts)
+        known = self._cached.get(name)
+        if not known or known[0] != self.state(name):
+            self._forget(name)
+            known = self._cached[name] = (self.state(name), self.read_parts(table, table.parts).persist())
+        return known[1]
+
+    def _forget(self, name: str) -> None:
+        if name in self._cached:
+            self._cached.pop(name)[1].unpersist()
 
     def read_parts(self, table: Table, parts: list[str]) -> DataFrame:
         """The rows of some of a table's folders."""
@@ -154,11 +176,32 @@ class Catalog:
 
     # --- changes
 
-    def publish(self, table: Table) -> None:
-        table.version += 1
-        indexes = {i: c for i, (t, c) in self.indexes.items() if t == table.name}
-        self.store.replace(self.store.path("tables", table.name, "manifest.json"), json.dumps(asdict(table) | {"indexes": indexes}))
-        self.tables[table.name] = table
+    def _manifest(self, name: str) -> str:
+        return self.store.path("tables", name, "manifest.json")
+
+    def _redo(self) -> None:
+        """Carry out what a journal tells that is still there."""
+        at = self.store.path("journal.json")
+        if text := self.store.read(at):
+            for name, manifest in json.loads(text).items():
+                self.store.replace(self._manifest(name), manifest)
+            self.store.delete(at)
+
+    def publish(self, *tables: Table) -> None:
+        """The next version of tables, all at once; the catalog knows them only when they are there."""
+        self._redo()
+        new = [replace(t, version=t.version + 1) for t in tables]
+        indexes = {t.name: {i: c for i, (n, c) in self.indexes.items() if n == t.name} for t in new}
+        texts = {t.name: json.dumps(asdict(t) | {"indexes": indexes[t.name]}) for t in new}
+        if len(new) > 1:
+            self.store.replace(self.store.path("journal.json"), json.dumps(texts))
+            # from here on it has happened, whatever comes between
+            self.tables |= {t.name: t for t in new}
+            self._redo()
+        else:
+            for name, text in texts.items():
+                self.store.replace(self._manifest(name), text)
+        self.tables |= {t.name: t for t in new}
 
     def write(self, table: Table, rows: DataFrame) -> str:
         """Rows as a new folder of the table, not yet part of it. Indexed columns get Bloom filters and order."""
@@ -182,29 +225,49 @@ class Catalog:
     def create(self, statement: CreateTable) -> Table:
         if self.has(statement.table):
             raise EngineError(f"table {statement.table} exists")
-        table = defined(statement, self)
-        self.publish(table)
-        return table
+        self.publish(defined(statement, self))
+        return self.tables[statement.table]
 
     def drop(self, name: str) -> None:
         if name in self.views:
             del self.views[name]
             return
         self.table(name)
+        if users := sorted({t.name for t in self.tables.values() for c in t.columns if t.name != name and c.get("references", {}).get("table") == name}):
+            raise EngineError(f"{name} is referred to by {', '.join(users)}")
+        self._redo()
         self.store.delete(self.store.path("tables", name))
+        self._forget(name)
         del self.tables[name]
         self.indexes = {i: (t, c) for i, (t, c) in self.indexes.items() if t != name}
 
     def create_index(self, name: str, table: str, column: str) -> None:
+        """Bloom filters and order for a column, in the folders that are there (each is written anew) and those to come."""
         if name in self.indexes:
             raise EngineError(f"index {name} exists")
-        if not self.table(table).column(column):
+        own = self.table(table)
+        if not own.column(column):
             raise EngineError(f"{table} has no column {column}")
+        new = column not in self.indexed(table)
         self.indexes[name] = (table, column)
-        self.publish(self.table(table))
+        made: list[str] = []
+        try:
+            if new:
+                for part in own.parts:
+                    made.append(self.write(own, self.read_parts(own, [part])))
+            self.publish(replace(own, parts=made) if new else own)
+        except BaseException:
+            del self.indexes[name]
+            for part in made:
+                self.drop_part(own, part)
+            raise
 
     def drop_index(self, name: str) -> None:
         if name not in self.indexes:
             raise EngineError(f"unknown index {name}")
-        table = self.indexes.pop(name)[0]
-        self.publish(self.table(table))
+        at = self.indexes.pop(name)
+        try:
+            self.publish(self.table(at[0]))
+        except BaseException:
+            self.indexes[name] = at
+            raise

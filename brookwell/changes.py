@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,10 +111,7 @@ def load(catalog: Catalog, name: str, rows: DataFrame, validate: bool = True, st
         for p in staged:
             catalog.drop_part(table, p)
         raise
-    table.parts, table.next_id = parts, next_id
-    if stream:
-        table.streams[stream[0]] = stream[1]
-    catalog.publish(table)
+    catalog.publish(replace(table, parts=parts, next_id=next_id, streams=table.streams | ({stream[0]: stream[1]} if stream else {})))
     for p in staged:
         if p not in parts:
             catalog.drop_part(table, p)
@@ -145,9 +143,7 @@ def _children(catalog: Catalog, name: str) -> list[tuple[Table, dict]]:
 
 def _replaced(catalog: Catalog, table: Table, rows: DataFrame) -> None:
     """Publish rows as the whole table. Older folders stay for readers of older versions until vacuum."""
-    part = catalog.write(table, rows)
-    table.parts = [part]
-    catalog.publish(table)
+    catalog.publish(replace(table, parts=[catalog.write(table, rows)]))
 
 
 def update(catalog: Catalog, statement: Update) -> int:
@@ -174,14 +170,14 @@ def update(catalog: Catalog, statement: Update) -> int:
     key = table.primary_key
     if key in changes and (duplicates(changed, key).limit(1).count() or taken(changed, rest, key).limit(1).count()):
         raise ConstraintError(table.name, {f"primary key {key}": n})
-    state: dict[str, DataFrame] = {}
-    for child, c in _children(catalog, table.name):
-        if c["references"]["column"] in changes:
-            _follow(catalog, state, df.where(hit), child, c, c["references"]["on_update"], changes[c["references"]["column"]])
-    if table.name in state:
-        state[table.name] = updated(state[table.name], changes, where)
-    own = [] if table.name in state else [*touched]
-    _publish(catalog, state, table, own, updated(catalog.read_parts(table, own), changes, where))
+    whole = table.name in _reached(catalog, table.name)
+    with _Followed(catalog) as follow:
+        if whole:
+            follow.state[table.name] = updated(df, changes, where)
+        for column, value in changes.items():
+            follow.renamed(table, column, df.where(hit), value)
+        own = [] if whole else [*touched]
+        _publish(catalog, follow.state, table, own, updated(catalog.read_parts(table, own), changes, where))
     return n
 
 
@@ -200,52 +196,137 @@ def delete(catalog: Catalog, statement: Delete) -> int:
     n = sum(touched.values())
     if not n:
         return 0
-    state: dict[str, DataFrame] = {}
-    for child, c in _children(catalog, table.name):
-        _follow(catalog, state, gone, child, c, c["references"]["on_delete"], None)
-    if table.name in state:
-        state[table.name] = deleted(state[table.name], where)
-    own = [] if table.name in state else [*touched]
-    _publish(catalog, state, table, own, deleted(catalog.read_parts(table, own), where))
+    whole = table.name in _reached(catalog, table.name)
+    with _Followed(catalog) as follow:
+        if whole:
+            follow.state[table.name] = deleted(df, where)
+        follow.removed(table, gone)
+        own = [] if whole else [*touched]
+        _publish(catalog, follow.state, table, own, deleted(catalog.read_parts(table, own), where))
     return n
 
 
 def _publish(catalog: Catalog, state: dict[str, DataFrame], table: Table, touched: list[str], rows: DataFrame) -> None:
     """All that a statement changes, once nothing stands against it, written first and published then: whole tables
     (state), and of the statement's own table rows in the place of the folders touched."""
-    parts = {name: ([], catalog.write(catalog.table(name), df)) for name, df in state.items()}
-    if touched:
-        parts[table.name] = ([p for p in table.parts if p not in touched], catalog.write(table, rows))
-    for name, (rest, part) in parts.items():
-        own = catalog.table(name)
-        own.parts = [*rest, part]
-        catalog.publish(own)
-
-
-def _follow(catalog: Catalog, state: dict[str, DataFrame], gone: DataFrame, child: Table, c: dict, action: str, new: Column | None) -> None:
-    """What happens to rows that refer to rows which go (new: None) or get another value: the child's new rows into
-    state, where nothing is published yet, or an error."""
-    rows = state.get(child.name)
-    rows = catalog.read(child.name) if rows is None else rows
-    column = F.col(f"`{c['name']}`")
-    keys = gone.select(F.col(f"`{c['references']['column']}`").alias("_gone")).where("_gone is not null").distinct()
-    hit = rows.join(keys, column == F.col("_gone"), "left_semi")
-    if not hit.limit(1).count():
-        return
-    if action in ("restrict", "no action"):
-        raise ConstraintError(child.name, {f"references {c['name']}": hit.count()})
-    if action == "cascade" and new is None:
-        for grandchild, g in _children(catalog, child.name):
-            if grandchild.name != child.name:
-                _follow(catalog, state, hit, grandchild, g, g["references"]["on_delete"], None)
-        state[child.name] = rows.join(keys, column == F.col("_gone"), "left_anti")
-        return
-    if action == "set null" and c.get("not_null"):
-        raise ConstraintError(child.name, {f"not null {c['name']}": hit.count()})
-    kind = child.schema[c["name"]].dataType
-    value = F.lit(None).cast(kind) if action == "set null" or new is None else new.cast(kind)
-    marked = rows.join(keys, column == F.col("_gone"), "left")
-    state[child.name] = marked.withColumn(c["name"], F.when(F.col("_gone").isNotNull(), value).otherwise(column)).drop("_gone")
+    parts: dict[str, list[str]] = {}
+    try:
+        for name, df in state.items():
+            parts[name] = [catalog.write(catalog.table(name), df)]
+        if touched:
+            parts[table.name] = [*(p for p in table.parts if p not in touched), catalog.write(table, rows)]
+    except BaseException:
+        for name, made in parts.items():
+            catalog.drop_part(catalog.table(name), made[-1])
+        raise
+    catalog.publish(*(replace(catalog.table(name), parts=own) for name, own in parts.items()))
+
+
+def _reached(catalog: Catalog, name: str) -> set[str]:
+    """Tables with references to this one, to these, and so on; itself too where references go in a circle."""
+    out, todo = set(), [name]
+    while todo:
+        for child, _ in _children(catalog, todo.pop()):
+            if child.name not in out:
+                out.add(child.name)
+                todo.append(child.name)
+    return out
+
+
+class _Followed:
+    """What references do when the rows that they point at go or get another value: new rows of the tables (state),
+    of which nothing is published yet, or an error.
+
+    Each step takes the rows that point at keys of the step before out of their table's state, so a row is taken once,
+    and tables that refer to themselves or to each other come to an end. Steps are written to folders that are dropped
+    with this object; a state that many steps have changed is written as well, so plans stay short.
+    """
+
+    #: Steps on a table's state before it is written.
+    STEPS = 6
+
+    def __init__(self, catalog: Catalog) -> None:
+        self.catalog, self.state = catalog, {}
+        self._made: list[tuple[Table, str]] = []
+        self._steps: dict[str, int] = {}
+
+    def __enter__(self) -> _Followed:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for table, part in self._made:
+            self.catalog.drop_part(table, part)
+
+    def _written(self, table: Table, rows: DataFrame) -> DataFrame:
+        part = self.catalog.write(table, rows)
+        self._made.append((table, part))
+        return self.catalog.written(table, part)
+
+    def _put(self, table: Table, rows: DataFrame) -> None:
+        self._steps[table.name] = self._steps.get(table.name, 0) + 1
+        if self._steps[table.name] % self.STEPS == 0:
+            rows = self._written(table, rows)
+        self.state[table.name] = rows
+
+    def _pointing(self, child: Table, c: dict, keys: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """The child's rows, and those of them that point at the keys (_gone), written, and how many."""
+        rows = self.state.get(child.name)
+        rows = self.catalog.read(child.name) if rows is None else rows
+        hit = self._written(child, rows.join(keys, F.col(f"`{c['name']}`") == F.col("_gone"), "left_semi"))
+        return rows, hit, hit.count()
+
+    @staticmethod
+    def _keys(rows: DataFrame, column: str) -> DataFrame:
+        return rows.select(F.col(f"`{column}`").alias("_gone")).where("_gone is not null").distinct()
+
+    def _set(self, child: Table, c: dict, rows: DataFrame, keys: DataFrame, value: Column) -> None:
+        column = F.col(f"`{c['name']}`")
+        marked = rows.join(keys, column == F.col("_gone"), "left")
+        self._put(child, marked.withColumn(c["name"], F.when(F.col("_gone").isNotNull(), value.cast(child.schema[c["name"]].dataType)).otherwise(column)).drop("_gone"))
+
+    def _refused(self, child: Table, c: dict, action: str, n: int) -> None:
+        if action in ("restrict", "no action"):
+            raise ConstraintError(child.name, {f"references {c['name']}": n})
+        if action == "set null" and c.get("not_null"):
+            raise ConstraintError(child.name, {f"not null {c['name']}": n})
+
+    def removed(self, table: Table, gone: DataFrame) -> None:
+        """Rows of the table go."""
+        todo = [(table, gone)]
+        while todo:
+            parent, rows = todo.pop(0)
+            for child, c in _children(self.catalog, parent.name):
+                keys = self._keys(rows, c["references"]["column"])
+                left, hit, n = self._pointing(child, c, keys)
+                action = c["references"]["on_delete"]
+                if not n:
+                    continue
+                self._refused(child, c, action, n)
+                if action == "cascade":
+                    self._put(child, left.join(keys, F.col(f"`{c['name']}`") == F.col("_gone"), "left_anti"))
+                    todo.append((child, hit))
+                else:
+                    self._set(child, c, left, keys, F.lit(None))
+                    # it may itself be pointed at
+                    self.renamed(child, c["name"], hit, F.lit(None))
+
+    def renamed(self, table: Table, column: str, changed: DataFrame, value: Column) -> None:
+        """A column of the table's rows gets another value; changed: those rows as they were."""
+        todo = [(table, column, changed, value)]
+        while todo:
+            parent, name, rows, new = todo.pop(0)
+            for child, c in _children(self.catalog, parent.name):
+                if c["references"]["column"] != name:
+                    continue
+                keys = self._keys(rows, name).where(~F.col("_gone").eqNullSafe(new))
+                left, hit, n = self._pointing(child, c, keys)
+                action = c["references"]["on_update"]
+                if not n:
+                    continue
+                self._refused(child, c, action, n)
+                own = new if action == "cascade" else F.lit(None)
+                self._set(child, c, left, keys, own)
+                todo.append((child, c["name"], hit, own))
 
 
 def compact(catalog: Catalog, name: str, files: int | None = None, sort_by: list[str] | None = None) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -226,6 +227,102 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_at(spark, sf_dir).table("events").select("event_id", json_value(F.col("props"), "$.k", "long").alias("k"))
 
 
+def index_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index made over rows that are there: their folders are written anew with Bloom filters and order."""
+    engine = engine_at(spark, sf_dir)
+    _copy(engine, "copy", "c_custkey int primary key, c_name string, c_mktsegment string", engine.table("customer").select("c_custkey", "c_name", "c_mktsegment"))
+    engine.execute("create index by_segment on copy (c_mktsegment)")
+    return engine.execute("select * from copy where c_mktsegment = BUILDING")
+
+
+def insert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT as a statement, in both forms; a key that comes again takes the place of its row."""
+    engine = engine_at(spark, sf_dir)
+    engine.execute("create table noted { k: int primary key, word: string, share: double, done: bool }")
+    engine.execute("insert into noted (k, word, share, done) values (1, 'oak', 0.5, true), (2, 'elm', null, false), (3, \"it's\", -2, null)")
+    engine.execute("insert noted { k: 4, word: ash }")
+    engine.execute("insert noted { k: 2, word: 'yew', done: true }")
+    return engine.execute("select * from noted")
+
+
+def filter_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_at(spark, sf_dir)
+    large = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") > 250000)
+    _copy(engine, "copy", "o_orderkey int primary key, large bool", engine.table("orders").select("o_orderkey", large.alias("large")))
+    return engine.execute("select o_orderkey from copy where large != true")
+
+
+def _lines(spark: SparkSession, engine: Engine, header: str | None, rows: DataFrame) -> str:
+    """A CSV file of lines as they are given."""
+    path = engine.catalog.store.path("lines")
+    lines = rows if header is None else spark.createDataFrame([(header,)], "value string").union(rows)
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a cell too many or too few are left out; a quoted delimiter makes no cell."""
+    engine = engine_at(spark, sf_dir)
+    size = F.col("p_size").cast("string")
+    line = F.when(F.col("p_partkey") % 5 == 0, F.concat_ws(",", F.col("p_partkey"), F.lit("odd"))).when(F.col("p_partkey") % 5 == 1, F.concat_ws(",", F.col("p_partkey"), F.lit("x"), size, F.lit("more")))
+    line = line.otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), F.col("p_brand"), F.lit(', new",'), size))
+    engine.import_csv(_lines(spark, engine, "Part Key,Brand (new),Size", engine.table("part").select(line.alias("value"))), "parts")
+    return engine.execute("select * from parts")
+
+
+def csv_headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first record with a number in it is data, and the columns are numbered."""
+    engine = engine_at(spark, sf_dir)
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    engine.import_csv(_lines(spark, engine, None, engine.table("orders").select(line.alias("value"))), "plain")
+    return engine.execute("select * from plain")
+
+
+def csv_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem out to CSV and in again."""
+    engine = engine_at(spark, sf_dir)
+    path = engine.catalog.store.path("csv")
+    engine.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus").write.option("header", True).csv(path)
+    engine.import_csv(path, "lines")
+    return engine.execute("select * from lines")
+
+
+def _family(spark: SparkSession, sf_dir: str) -> Engine:
+    """region, nation and customer as tables that refer to each other."""
+    engine = engine_at(spark, sf_dir)
+    rule = "on delete cascade on update cascade"
+    _copy(engine, "r", "rk int primary key, name string", engine.table("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("name")))
+    _copy(engine, "n", f"nk int primary key, rk int references r(rk) {rule}", engine.table("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk")))
+    _copy(engine, "c", f"ck int primary key, nk int references n(nk) {rule}", engine.table("customer").select(F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nk")))
+    return engine
+
+
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _family(spark, sf_dir)
+    engine.execute("delete from r where name = 'ASIA' or rk = 0")
+    return engine.execute("select * from c")
+
+
+def update_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _family(spark, sf_dir)
+    engine.execute("update r set rk = 100 where name = 'EUROPE'")
+    engine.execute("update n set nk = 200 where nk = 3")
+    return engine.execute("select c.ck, n.rk, n.nk as nation from c join n on c.nk = n.nk")
+
+
+def drop_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table dropped and made again under its name: no remembered result of the old one comes back."""
+    engine = engine_at(spark, sf_dir)
+    old = engine.table("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    new = engine.table("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    _copy(engine, "again", "k int primary key, name string", old)
+    engine.to_json("select * from again")
+    engine.execute("drop table again")
+    _copy(engine, "again", "k int primary key, name string", new)
+    rows = json.loads(engine.to_json("select * from again"))
+    return spark.createDataFrame([(r["k"], r["name"]) for r in rows], "k long, name string")
+
+
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation out to CSV and in again: names cleaned, all columns text."""
     engine = engine_at(spark, sf_dir)
@@ -260,6 +357,17 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute("describe a")
 
 
+def _sorted_holes(column: str, text: str, beyond: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A sort with a limit behind the boundary between values and nulls, wherever the table has it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = _with_nulls(spark, sf_dir)
+        first = engine.table("holes").where(f"{column} is {beyond}").count()
+        return engine.execute(f"{text} limit {first + 500}")
+
+    return run
+
+
 def _holes(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _with_nulls(spark, sf_dir).execute(text)
 
@@ -280,8 +388,8 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "filter_null": (_holes("select * from holes where status = null"), f"SELECT * FROM {_HOLES} WHERE status IS NULL"),
     "filter_not_null": (_holes("select * from holes where status != null and price != null"), f"SELECT * FROM {_HOLES} WHERE status IS NOT NULL AND price IS NOT NULL"),
     "filter_three_valued": (_holes("select * from holes where status != 'F' or price > 400000"), f"SELECT * FROM {_HOLES} WHERE status <> 'F' OR price > 400000"),
-    "sort_nulls_last": (_holes("select status from holes order by status limit 14900"), f"SELECT status FROM {_HOLES} ORDER BY status ASC NULLS LAST LIMIT 14900"),
-    "sort_nulls_first": (_holes("select price from holes order by price desc limit 3000"), f"SELECT price FROM {_HOLES} ORDER BY price DESC NULLS FIRST LIMIT 3000"),
+    "sort_nulls_last": (_sorted_holes("status", "select status from holes order by status", "not null"), f"SELECT status FROM {_HOLES} ORDER BY status ASC NULLS LAST LIMIT (SELECT COUNT(status) + 500 FROM {_HOLES})"),
+    "sort_nulls_first": (_sorted_holes("price", "select price from holes order by price desc", "null"), f"SELECT price FROM {_HOLES} ORDER BY price DESC NULLS FIRST LIMIT (SELECT COUNT(*) - COUNT(price) + 500 FROM {_HOLES})"),
     "count_nulls": (_holes("select status, count(price) as n, count(*) as rows from holes group by status"), f"SELECT status, COUNT(price) AS n, COUNT(*) AS rows FROM {_HOLES} GROUP BY status"),
     "insert_upsert": (insert_upsert, "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS BIGINT) AS p_size, p_retailprice FROM part UNION ALL SELECT CAST(p_partkey + 10000000 AS BIGINT), p_name, CAST(p_size AS BIGINT), p_retailprice FROM part"),
     "update_where": (update_where, f"SELECT o_orderkey, CASE WHEN o_totalprice > 250000 AND o_note <> '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 250000 AND o_note <> '1-URGENT' THEN 1.5 ELSE o_totalprice END AS o_totalprice, o_note FROM {_COPY_SQL}"),
@@ -298,6 +406,15 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "not_null_violations": (not_null_violations, f"SELECT 'not null status' AS name, COUNT(*) AS n FROM {_HOLES} WHERE status IS NULL"),
     "json_value": (json_values, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "csv_import": (csv_import, "SELECT CAST(n_nationkey AS VARCHAR) AS nation_key, n_name AS nation_name, CAST(n_regionkey AS VARCHAR) AS region_key FROM nation"),
+    "csv_ragged": (csv_ragged, "SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_brand || ', new' AS brand__new, CAST(p_size AS VARCHAR) AS size FROM part WHERE p_partkey % 5 NOT IN (0, 1)"),
+    "csv_headerless": (csv_headerless, "SELECT CAST(o_orderkey AS VARCHAR) AS col_1, o_orderstatus AS col_2, o_orderpriority AS col_3 FROM orders"),
+    "csv_lineitem": (csv_lineitem, "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_quantity AS VARCHAR) AS l_quantity, l_returnflag, l_linestatus FROM lineitem"),
+    "index_backfill": (index_backfill, "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "insert_text": (insert_text, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'oak', CAST(0.5 AS DOUBLE), TRUE), (2, 'yew', NULL, TRUE), (3, 'it''s', -2, NULL), (4, 'ash', NULL, NULL)) t(k, word, share, done)"),
+    "filter_bool": (filter_bool, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 AND o_totalprice <= 250000"),
+    "delete_cascade": (delete_cascade, "SELECT CAST(c_custkey AS BIGINT) AS ck, CAST(c_nationkey AS BIGINT) AS nk FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' AND r_regionkey <> 0"),
+    "update_cascade": (update_cascade, "SELECT CAST(c_custkey AS BIGINT) AS ck, CAST(CASE WHEN r_name = 'EUROPE' THEN 100 ELSE r_regionkey END AS BIGINT) AS rk, CAST(CASE WHEN n_nationkey = 3 THEN 200 ELSE n_nationkey END AS BIGINT) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "drop_recreate": (drop_recreate, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation"),
     "stream_ingest": (stream_ingest, "SELECT event_id, user_id, event_type, value FROM events"),
     "show_tables": (show_tables, "SELECT * FROM (VALUES ('a', CAST(2 AS INTEGER)), ('b', CAST(1 AS INTEGER))) t(\"table\", columns)"),
     "describe": (describe, "SELECT * FROM (VALUES ('x', 'int', TRUE, '', ''), ('y', 'varchar', FALSE, 'not null; length <= 5', 'i')) t(\"column\", \"type\", primary_key, constraints, indexes)"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import threading
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from . import changes
 from .catalog import Catalog
 from .dialect import CreateIndex, CreateTable, Delete, Describe, DropIndex, DropTable, Insert, Select, ShowTables, Update, parse
+from .errors import EngineError
 from .plans.binder import bind, tables_of
 from .sources.csv import read_csv
 from .sources.rows import from_columns, from_mappings
@@ -25,21 +27,23 @@ class Engine:
     """Tables below a root folder, and a language for them.
 
     root may be any path that Spark can write. Without one the tables live below spark.checkpoint.dir, or where that is
-    unset in a temporary folder, and end with the engine (close()). One engine writes a root at a time; any number of
-    readers may.
+    unset and all tasks run in this process in a temporary folder, and end with the engine (close()). One engine writes
+    a root at a time; any number of readers may. With memory, tables that have been read stay in the executors' memory.
     """
 
-    #: Results that are remembered as JSON, and the size of one at most.
-    RESULTS, RESULT_BYTES = 5000, 1 << 20
+    #: Results that are remembered as JSON, the size of one at most, and rows that are given out as JSON at most.
+    RESULTS, RESULT_BYTES, RESULT_ROWS = 5000, 1 << 20, 1_000_000
 
-    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, memory: bool = False) -> None:
         self.spark = spark
         spark.conf.set("spark.sql.caseSensitive", "true")
         self._own = None
         if root is None:
             shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise EngineError("a root, or spark.checkpoint.dir, must name a folder that the driver and all executors share")
             root = self._own = f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="brookwell-")
-        self.catalog = Catalog(spark, root)
+        self.catalog = Catalog(spark, root, memory)
         self._lock = threading.RLock()
         self._results: OrderedDict[tuple, str] = OrderedDict()
         self.counts: Counter[str] = Counter()
@@ -88,11 +92,12 @@ class Engine:
 
     def to_json(self, text: str) -> str:
         """A statement's rows as a JSON array. Results of queries over the engine's own tables are remembered by the
-        text and the versions of the tables, so a change makes them new."""
+        text and the tables' states, so a change makes them new. More than RESULT_ROWS rows are an error: as a DataFrame
+        (execute) a result can have any size."""
         statement = parse(text)
         key = None
         if isinstance(statement, Select) and not any(t in self.catalog.views for t in tables_of(statement)):
-            key = (text, *((t, self.catalog.version(t)) for t in tables_of(statement)))
+            key = (text, *((t, *self.catalog.state(t)) for t in tables_of(statement)))
             with self._lock:
                 if key in self._results:
                     self._results.move_to_end(key)
@@ -107,9 +112,11 @@ class Engine:
                     self._results.popitem(last=False)
         return out
 
-    @staticmethod
-    def _rows(df: DataFrame) -> list[dict]:
-        return [r.asDict(recursive=True) for r in df.collect()] if df.columns else []
+    def _rows(self, df: DataFrame) -> list[dict]:
+        rows = df.limit(self.RESULT_ROWS + 1).collect() if df.columns else []
+        if len(rows) > self.RESULT_ROWS:
+            raise EngineError(f"the result has more than {self.RESULT_ROWS} rows; ask for fewer (limit)")
+        return [r.asDict(recursive=True) for r in rows]
 
     # --- tables
 

@@ -18,18 +18,18 @@ def test_joins(kind, op):
 
 
 def test_short_surface():
-    assert parse("select users").short and parse("select users").table == "users"
-    assert parse("select users where age > 3").selectors == (Selector(None),)
-    assert parse('find users where name = "alice"').where == ((Condition("name", "=", Literal("alice")),),)
-    assert parse("delete users where id = 1") == parse("delete from users where id = 1")
-    made = parse('insert users { id: 2, name: "bob", metadata: { level: 5, badges: ["gold", "silver"], none: null } }')
-    assert made.columns == ("id", "name", "metadata") and made.rows == ((2, "bob", {"level": 5, "badges": ["gold", "silver"], "none": None}),)
+    assert parse("select ships").short and parse("select ships").table == "ships"
+    assert parse("select ships where tons > 3").selectors == (Selector(None),)
+    assert parse('find ships where port = "Bergen"').where == ((Condition("port", "=", Literal("Bergen")),),)
+    assert parse("delete ships where hull = 1") == parse("delete from ships where hull = 1")
+    made = parse('insert ships { hull: 71, port: "Riga", papers: { tons: 1200.5, flags: ["LV", "EE"], owner: null } }')
+    assert made.columns == ("hull", "port", "papers") and made.rows == ((71, "Riga", {"tons": 1200.5, "flags": ["LV", "EE"], "owner": None}),)
     assert parse("create table t { id: int, s: string }") == parse("create table t (id int, s string)")
 
 
 def test_values():
-    s = parse("insert into t (a, b, c, d, e, f) values (null, TRUE, false, bob, -3, +2.5), (1, 2, 3, 4, 5, '--no')")
-    assert s.rows == ((None, True, False, "bob", -3, 2.5), (1, 2, 3, 4, 5, "--no"))
+    s = parse("insert into t (a, b, c, d, e, f) values (null, TRUE, false, pine, -3, +2.5), (1, 2, 3, 4, 5, '--no')")
+    assert s.rows == ((None, True, False, "pine", -3, 2.5), (1, 2, 3, 4, 5, "--no"))
 
 
 def test_create_table_in_full():

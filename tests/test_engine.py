@@ -392,3 +392,180 @@ def test_registered_queries_match_their_sql(spark):
         got = con.execute(f"select {', '.join(f'"{c}"' for c in df.columns)} from ({sql[name]})").fetchall()
         if name != "sort_nulls_first":
             assert plain(map(tuple, df.collect())) == plain(got), name
+
+
+def test_new_queries_match_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from brookwell import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in queries.TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    run, sql = queries.queries(), queries.oracle_sql()
+    for name in ("csv_ragged", "csv_headerless", "csv_lineitem", "index_backfill", "insert_text", "filter_bool", "delete_cascade", "update_cascade", "drop_recreate", "sort_nulls_last"):
+        df = run[name](spark, sf)
+        got = con.execute(f"select {', '.join(f'"{c}"' for c in df.columns)} from ({sql[name]})").fetchall()
+        assert got and sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, got)), name
+
+
+def test_a_table_that_refers_to_itself(engine):
+    """Chains of any depth and circles; a restricted one stands against it; new keys go along."""
+    engine.execute("create table staff (id int primary key, boss int references staff(id) on delete cascade on update cascade)")
+    engine.load("staff", engine.spark.createDataFrame([(1, None), *((i, i - 1) for i in range(2, 15)), (100, None), (101, 100), (102, 101)], "id long, boss long"))
+    engine.execute("update staff set boss = 102 where id = 100")  # a circle
+    engine.execute("update staff set id = 50 where id = 3")
+    assert {r.boss for r in engine.execute("select staff where id = 4").collect()} == {50}
+    engine.execute("delete from staff where id = 2")
+    assert sorted(r.id for r in engine.execute("select staff").collect()) == [1, 100, 101, 102]
+    engine.execute("delete from staff where id = 101")
+    assert sorted(r.id for r in engine.execute("select staff").collect()) == [1]
+    engine.execute("create table node (id int primary key, up int references node(id) on delete restrict)")
+    engine.execute("insert into node (id, up) values (1, null), (2, 1), (3, 2)")
+    with pytest.raises(ConstraintError, match="references up"):
+        engine.execute("delete from node where id = 2")
+    engine.execute("delete from node where id >= 2")
+    assert engine.execute("select node").count() == 1
+    assert len(engine.catalog.store.names(engine.catalog.store.path("tables", "staff"))) < 40
+
+
+def test_two_tables_that_refer_to_each_other(engine):
+    from dataclasses import replace
+
+    engine.execute("create table a (id int primary key, b int)")
+    engine.execute("create table b (id int primary key, a int references a(id) on delete cascade)")
+    a = engine.catalog.table("a")  # the language has no way to add a reference
+    reference = engine.catalog.table("b").column("a")["references"] | {"table": "b"}
+    engine.catalog.publish(replace(a, columns=[c if c["name"] != "b" else c | {"references": reference} for c in a.columns]))
+    engine.insert_values("a", [(1, None), (2, None), (3, None)])
+    engine.insert_values("b", [(1, 1), (2, 2), (3, 3)])
+    engine.execute("update a set b = 2 where id = 1")
+    engine.execute("update a set b = 1 where id = 2")
+    engine.execute("delete from a where id = 1")
+    assert [r.id for r in engine.execute("select a").collect()] == [3] == [r.id for r in engine.execute("select b").collect()]
+    with pytest.raises(EngineError, match="referred to"):
+        engine.execute("drop table a")
+
+
+def test_set_null_reaches_further(engine):
+    engine.execute("create table p (id int primary key)")
+    engine.execute("create table c (id int primary key, p int references p(id) on delete set null)")
+    engine.execute("create table g (id int primary key, p int references c(p) on delete cascade on update set null)")
+    engine.insert_values("p", [(1,), (2,)])
+    engine.insert_values("c", [(1, 1), (2, 2)])
+    engine.insert_values("g", [(1, 1), (2, 2)])
+    engine.execute("delete from p where id = 1")
+    assert sorted(str((r.id, r.p)) for r in engine.execute("select g").collect()) == ["(1, None)", "(2, 2)"]
+
+
+def test_drop_and_create_under_one_name(engine):
+    for word in ("old", "new"):
+        engine.execute("create table t (w string)")
+        engine.execute(f"insert into t (w) values ('{word}')")
+        assert json.loads(engine.to_json("select t")) == [{"w": word}]
+        engine.execute("drop table t")
+    engine.execute("create table p (id int primary key)")
+    engine.execute("create table c (p int references p(id))")
+    with pytest.raises(EngineError, match="referred to by c"):
+        engine.execute("drop table p")
+    engine.execute("drop table c")
+    engine.execute("drop table p")
+
+
+@pytest.mark.parametrize("after", range(4))
+def test_a_change_of_several_tables_happens_wholly_or_not(spark, engine, tmp_path, monkeypatch, after):
+    """The write of one of the small files fails: journal, first or second manifest."""
+    engine.execute("create table p (id int primary key)")
+    engine.execute("create table c (id int primary key, p int references p(id) on delete cascade)")
+    engine.insert_values("p", [(1,), (2,)])
+    engine.insert_values("c", [(1, 1), (2, 2)])
+    store, n = engine.catalog.store, [0]
+    plain = store.replace
+
+    def failing(path, text):
+        n[0] += 1
+        if n[0] == after:
+            raise OSError("no space left")
+        plain(path, text)
+
+    monkeypatch.setattr(store, "replace", failing)
+    if after:
+        with pytest.raises(OSError):
+            engine.execute("delete from p where id = 1")
+    else:
+        engine.execute("delete from p where id = 1")
+    monkeypatch.undo()
+    want = [1, 2] if after == 1 else [2]
+    for e in (Engine(spark, f"file://{tmp_path}/root"), engine):
+        assert sorted(r.id for r in e.execute("select p").collect()) == want == sorted(r.id for r in e.execute("select c").collect())
+    engine.execute("insert into p (id) values (7)")
+    assert engine.execute("select p").count() == len(want) + 1
+    assert Engine(spark, f"file://{tmp_path}/root").execute("select p").count() == len(want) + 1
+
+
+def test_a_load_that_breaks_half_way(spark, engine):
+    """Tasks of a load fail after others have written: the table is as it was, and nothing stays behind."""
+    engine.execute("create table t (k int primary key, v int)")
+    engine.insert_values("t", [(1, 1)])
+    rows = spark.range(0, 1000, 1, 8).select(F.col("id").alias("k"), F.when(F.col("id") == 999, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        engine.load("t", rows)
+    assert [(r.k, r.v) for r in engine.execute("select t").collect()] == [(1, 1)]
+    engine.vacuum("t")
+    assert len([n for n in engine.catalog.store.names(engine.catalog.store.path("tables", "t")) if n.startswith("v")]) == 1
+
+
+def test_an_index_over_rows_that_are_there(spark, engine):
+    """Each folder is written anew, ordered and with Bloom filters; rows stay."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    from pathlib import Path
+
+    engine.execute("create table t (k int, w string)")
+    for s in range(2):
+        engine.load("t", spark.range(s * 5000, s * 5000 + 5000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("w")))
+    before = list(engine.catalog.table("t").parts)
+    engine.execute("create index i on t (w)")
+    after = engine.catalog.table("t").parts
+    assert len(after) == 2 and not set(before) & set(after)
+    for part in after:
+        for f in Path(engine.catalog.store.path("tables", "t", part).removeprefix("file://")).glob("*.parquet"):
+            w = pq.read_table(f).column("w").to_pylist()
+            assert w == sorted(w)
+            if len(w):
+                column = pq.ParquetFile(f).metadata.row_group(0).to_dict()["columns"]
+                assert any(c["path_in_schema"] == "w" for c in column)
+    one = engine.table("t").where("k = 777").first().w
+    assert [r.k for r in engine.lookup("t", "w", [one]).collect()] == [777] and engine.execute("select t").count() == 10_000
+    with pytest.raises(EngineError):
+        engine.execute("create index j on t (nothing)")
+    engine.execute("create index j on t (w)")
+    assert engine.catalog.table("t").parts == after
+
+
+def test_results_have_a_bound(engine, monkeypatch):
+    monkeypatch.setattr(Engine, "RESULT_ROWS", 3)
+    engine.execute("create table t (a int)")
+    engine.insert_values("t", [(i,) for i in range(4)])
+    assert len(json.loads(engine.to_json("select t limit 3"))) == 3
+    with pytest.raises(EngineError, match="more than 3 rows"):
+        engine.to_json("select t")
+
+
+def test_tables_in_memory(spark):
+    engine = Engine(spark, memory=True)
+    engine.execute("create table t (a int primary key)")
+    engine.insert_values("t", [(1,), (2,)])
+    assert engine.execute("select t").count() == 2 and engine.catalog.read("t").storageLevel.useMemory
+    assert engine.catalog.read("t") is engine.catalog.read("t")
+    engine.insert_values("t", [(2,), (3,)])
+    assert sorted(r.a for r in engine.execute("select t").collect()) == [1, 2, 3]
+    engine.close()
+
+
+def test_server_options(capsys):
+    from brookwell.server import options
+
+    assert options(["--memory"]).memory and options(["--root", "r", "--durable"]).durable and options([]).port == 1337
+    for wrong in (["--durable"], ["--memory", "--root", "r"], ["--memory", "--durable"]):
+        with pytest.raises(SystemExit):
+            options(wrong)
