@@ -210,8 +210,10 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: i
     dealt by the column `by` and the others by their keys.
     """
     hot = F.col("n") * HOT > total
+    # always 0, but no literal: the optimizer would take that out of the join's keys
+    none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("_own")
     often = right.where(hot).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.col("value").alias("_hot"))
-    rare = right.where(~hot).select(*(F.col(k).alias(f"_rare_{k}") for k in keys), F.col("value").alias("_rare"), F.lit(0).cast("long").alias("_own"))
+    rare = right.where(~hot).select(*(F.col(k).alias(f"_rare_{k}") for k in keys), F.col("value").alias("_rare"), none)
     out = left
     for other, prefix in ((F.broadcast(often), "_hot_"), (rare, "_rare_")):
         match = F.lit(True)
