@@ -207,7 +207,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: i
 
     right: the keys, n (rows of left with them, or more), value; a row a key. total: rows of left, or more. Fewer than
     HOT keys can have more than total / HOT rows: these come by broadcast. Rows of such a key, or with a null in it, are
-    dealt by the column `by` and the others by their keys.
+    dealt by the column `by` and the others by their keys. `by` must be a value that a repeated task finds again, such as
+    a number that was written with the row.
     """
     hot = F.col("n") * HOT > total
     # always 0, but no literal: the optimizer would take that out of the join's keys

@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 }
 
     fields = [("doc_id", kind), ("n_shingles", T.LongType()), ("sid", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("marks", T.BinaryType()), ("k1", T.LongType()), ("k2", T.LongType())]
-    signed = materialize(map_arrow(d, sign, T.StructType([T.StructField(*f) for f in fields])), "signed")
+    signed = map_arrow(d, sign, T.StructType([T.StructField(*f) for f in fields]))
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("rep")
     reps = signed.where("sid is not null").groupBy("sid").agg(rep, F.count("*").alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     reps = materialize(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices")
@@ -342,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = signed.count()
     of = spread_join(at, least.select("root", "n", F.struct("least.doc_id").alias("value")), ["root"], max(reps.count(), 1), "vid")
     of = of.select("sid", F.col("n_rows").alias("n"), F.struct(F.col("value.doc_id").alias("component_id"), F.col("root").alias("class")).alias("value"))
-    out = spread_join(signed.select("doc_id", "n_shingles", "sid", "k1", "k2"), of, ["sid"], n, "k1")
+    out = spread_join(signed.select("doc_id", "n_shingles", "sid", "k1", "k2", "row"), of, ["sid"], n, "row")
     out = out.withColumn("component_id", F.when(F.col("value").isNotNull(), F.col("value.component_id")).otherwise(F.col("doc_id")))
     more = ["k1", "k2", F.col("value.class").alias("class")] if rows else []
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)

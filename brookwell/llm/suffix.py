@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import clean_rows, map_arrow, materialize, pieces, runs
+from .common import clean_rows, map_arrow, materialize, pieces, runs, spread_join
 
 #: Bytes of text of a bucket (about): what one call holds in memory at once.
 BUCKET = 128 << 20
@@ -256,14 +256,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more than WIDE contexts are compared by 128-bit hashes instead, as a sorted stream. (5) Texts take the spans in.
     Texts are dealt out once, by a hash of the text, a copy a task at most, and both (3) and (5) read that exchange.
     There are as many buckets of texts and of anchors as their bytes ask for (BUCKET); a task takes its buckets in turn.
+    Rows whose text very many have are spread over tasks when they get their spans.
     """
     spark = docs.sparkSession
     anchor = anchor_size(length)
     span = length - anchor
     d = clean_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    parts = partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    buckets = max(parts, -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     d = d.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64("text", F.lit(7)))
+    rows = d.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("size"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    n, size = rows.agg(F.count("*"), F.sum("size")).first()
+    parts = partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    buckets = max(parts, -(-(size or 0) // BUCKET))
 
     def bucket_of(keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) >> np.uint64(20)).astype(np.int64) % buckets
@@ -454,5 +458,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out
 
     done = joined(1, judged.union(partial), cut, "k1 long, k2 long, n_bytes long, spans array<struct<start: long, end: long>>, kept_sha256 string" + ", kept binary" * keep_bytes)
-    out = d.select("doc_id", "k1", "k2").join(done, ["k1", "k2"])
-    return out.select(F.col("doc_id").alias(id_col), "n_bytes", "spans", "kept_sha256", *["kept"] * keep_bytes)
+    names = ["n_bytes", "spans", "kept_sha256"]
+    if keep_bytes:  # texts are no values to broadcast
+        out = rows.join(done, ["k1", "k2"])
+    else:
+        of = materialize(done, "cut").join(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"])
+        out = spread_join(rows, of.select("k1", "k2", "n", F.struct(*names).alias("value")), ["k1", "k2"], n, "row")
+        out = out.select("doc_id", *(F.col(f"value.{c}").alias(c) for c in names))
+    return out.select(F.col("doc_id").alias(id_col), *names, *["kept"] * keep_bytes)
