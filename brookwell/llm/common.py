@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -96,6 +96,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """materialize, and aggregates of the rows that the job which writes them takes along."""
+    seen = Observation()
+    return materialize(df.observe(seen, *(c.alias(n) for n, c in counts.items())), label), seen.get
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 

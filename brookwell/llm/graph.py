@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join
+from .common import materialize_counted, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,13 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("value.m").alias("b")))
         return out.where("a <> b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def written(e: DataFrame, label: str) -> tuple[DataFrame, dict]:
+        return materialize_counted(e, label, n=F.count("*"), mark=F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
 
-    e = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    now, last = mark(e), None
-    while now[0] and now != last:
+    e, now = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    last = None
+    while now["n"] and now != last:
+        last = now
         # a large star makes one edge of each at most, so the count before it bounds the small star's
-        e = materialize(stars(stars(e, now[0], True), now[0], False), "stars")
-        now, last = mark(e), now
+        e, now = written(stars(stars(e, now["n"], True), now["n"], False), "stars")
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).union(e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

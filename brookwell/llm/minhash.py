@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_rows, map_arrow, materialize, pieces, runs, spread_join
+from .common import clean_rows, map_arrow, materialize, materialize_counted, pieces, runs, spread_join
 from .graph import components
 from .mixing import row_keys
 
@@ -230,8 +230,9 @@ def _joined(rows: DataFrame, block: int, agree: int, percent: int, large: bool)
             rays = opened.withColumn("part", F.pmod(F.xxhash64("vid"), "parts").cast("int")).withColumn("hub", F.lit(False))
             both = rays.unionByName(hubs).select(*names, "part", "hub")
             n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            met = materialize(map_arrow(both.repartition(n, "g", "part").sortWithinPartitions("g", "part", F.desc("hub")), _meet(agree, percent), kind), "met")
-            new, left = met.agg(F.count("by"), F.count("*") - F.count("by")).first()
+            met = map_arrow(both.repartition(n, "g", "part").sortWithinPartitions("g", "part", F.desc("hub")), _meet(agree, percent), kind)
+            met, found = materialize_counted(met, "met", new=F.count("by"), all=F.count("*"))
+            new, left = found["new"], found["all"] - found["new"]
             total = total or new + left
             tree.append(met.where("by is not null"))
             edges.append(tree[-1].select(F.col("by").alias("a"), F.col("vid").alias("b")))
@@ -307,15 +308,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fields = [("doc_id", kind), ("n_shingles", T.LongType()), ("sid", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("marks", T.BinaryType()), ("k1", T.LongType()), ("k2", T.LongType())]
     signed = map_arrow(d, sign, T.StructType([T.StructField(*f) for f in fields]))
-    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed, rows_in = materialize_counted(signed.withColumn("row", F.monotonically_increasing_id()), "signed", n=F.count("*"))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("rep")
     reps = signed.where("sid is not null").groupBy("sid").agg(rep, F.count("*").alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    reps = materialize(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices")
+    reps, vertices = materialize_counted(reps.withColumn("vid", F.monotonically_increasing_id()), "vertices", n=F.count("*"))
 
     bands = reps.select("vid", F.explode("bands").alias("g"))
-    often = materialize(bands.groupBy("g").agg(F.count("*").alias("n"), F.min("vid").alias("first")).where("n > 1"), "often")
+    often, buckets = materialize_counted(bands.groupBy("g").agg(F.count("*").alias("n"), F.min("vid").alias("first")).where("n > 1"), "often", most=F.max("n"))
     met = bands.join(often, "g").join(reps.select("vid", "marks"), "vid").select("g", "first", "n", "vid", "marks")
-    proposed = _joined(met, SKETCH_BLOCK, agree, percent, not often.where(F.col("n") > SKETCH_BLOCK).isEmpty())
+    proposed = _joined(met, SKETCH_BLOCK, agree, percent, (buckets["most"] or 0) > SKETCH_BLOCK)
     clusters = materialize(components(proposed), "clusters")
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
@@ -334,16 +335,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 marks = sketches(sets, t).astype(np.uint8)
                 yield {"g": part.column("root"), "first": part.column("root"), "n": part.column("n"), "vid": part.column("vid"), "marks": [m.tobytes() for m in marks], "shingles": [s.tobytes() for s in sets]}
 
-    full = materialize(map_arrow(texts, whole, "g long, first long, n long, vid long, marks binary, shingles binary"), "sets")
-    joined = components(_joined(full, SET_BLOCK, agree, percent, not full.where(F.col("n") > SET_BLOCK).isEmpty()))
+    full, sets = materialize_counted(map_arrow(texts, whole, "g long, first long, n long, vid long, marks binary, shingles binary"), "sets", most=F.max("n"))
+    joined = components(_joined(full, SET_BLOCK, agree, percent, (sets["most"] or 0) > SET_BLOCK))
 
     at = reps.select("vid", "sid", "rep", "n_rows").join(joined.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     # a component of many vertices is no hot key here: its rows are one a text, and the least is found by parts first
     least = at.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
-    n = signed.count()
-    of = spread_join(at, least.select("root", "n", F.struct("least.doc_id").alias("value")), ["root"], max(reps.count(), 1), "vid")
+    of = spread_join(at, least.select("root", "n", F.struct("least.doc_id").alias("value")), ["root"], vertices["n"], "vid")
     of = of.select("sid", F.col("n_rows").alias("n"), F.struct(F.col("value.doc_id").alias("component_id"), F.col("root").alias("class")).alias("value"))
-    out = spread_join(signed.select("doc_id", "n_shingles", "sid", "k1", "k2", "row"), of, ["sid"], n, "row")
+    out = spread_join(signed.select("doc_id", "n_shingles", "sid", "k1", "k2", "row"), of, ["sid"], rows_in["n"], "row")
     out = out.withColumn("component_id", F.when(F.col("value").isNotNull(), F.col("value.component_id")).otherwise(F.col("doc_id")))
     more = ["k1", "k2", F.col("value.class").alias("class")] if rows else []
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import clean_rows, map_arrow, materialize, pieces, runs, spread_join
+from .common import clean_rows, map_arrow, materialize, materialize_counted, pieces, runs, spread_join
 
 #: Bytes of text of a bucket (about): what one call holds in memory at once.
 BUCKET = 128 << 20
@@ -264,10 +264,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = clean_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64("text", F.lit(7)))
     rows = d.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("size"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    n, size = rows.agg(F.count("*"), F.sum("size")).first()
+    rows, total = materialize_counted(rows.withColumn("row", F.monotonically_increasing_id()), "rows", n=F.count("*"), size=F.sum("size"))
     parts = partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    buckets = max(parts, -(-(size or 0) // BUCKET))
+    buckets = max(parts, -(-(total["size"] or 0) // BUCKET))
 
     def bucket_of(keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) >> np.uint64(20)).astype(np.int64) % buckets
@@ -463,6 +462,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = rows.join(done, ["k1", "k2"])
     else:
         of = materialize(done, "cut").join(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"])
-        out = spread_join(rows, of.select("k1", "k2", "n", F.struct(*names).alias("value")), ["k1", "k2"], n, "row")
+        out = spread_join(rows, of.select("k1", "k2", "n", F.struct(*names).alias("value")), ["k1", "k2"], total["n"], "row")
         out = out.select("doc_id", *(F.col(f"value.{c}").alias(c) for c in names))
     return out.select(F.col("doc_id").alias(id_col), *names, *["kept"] * keep_bytes)
