@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, runs
 
-#: Rows of a candidate block, pivots of a block, candidates that are evaluated first, queries of one product.
-BLOCK, PIVOTS, FIRST, BATCH = 8192, 32, 128, 256
+#: Rows of a candidate block, pivots of a block, of these the nearest ones that bound a query's scores, candidates that
+#: are evaluated first, queries of one product.
+BLOCK, PIVOTS, NEAREST, FIRST, BATCH = 8192, 256, 16, 128, 256
 #: What a task searches at most: so many queries (all held at once) over so many rows (block by block).
 QUERIES, PART = 32_768, 1 << 20
 
@@ -32,11 +33,11 @@ def dots(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class PivotBlock:
-    """Candidates of a block with their distances to pivots.
+    """Candidates of a block with the distances of their directions to pivots.
 
-    Inner products become distances when each row gets a component that lifts all to the block's greatest norm m:
-    |q - x|^2 = |q|^2 + m^2 - 2 q.x. The triangle inequality over the pivots bounds the distance from below, and so
-    the score from above.
+    On the unit sphere |q - x|^2 = 2 - 2 cos(q, x). The triangle inequality over the pivots bounds that distance from
+    below, and so the cosine, and with the norms the score, from above. Of many pivots the few nearest to a query bound
+    it: they tell its own neighbourhood from the rest, and far ones tell next to nothing among many dimensions.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: int = PIVOTS) -> None:
@@ -45,30 +46,29 @@ class PivotBlock:
         self.most = float(np.abs(rows).max(initial=0.0))
         if self.most**2 * rows.shape[-1] < 2.0**24:
             self.rows = self.rows.astype(np.float32)  # small integers: single precision holds their products
-        norms = (self.rows.astype(np.float64) ** 2).sum(1)
-        self.m2 = float(norms.max(initial=0.0))
-        lift = np.sqrt(np.maximum(self.m2 - norms, 0))
+        self.norms = np.sqrt((self.rows.astype(np.float64) ** 2).sum(1))
+        unit = self.rows / np.maximum(self.norms, 1e-300)[:, None]
         # pivots far from each other: each next one has the greatest distance to those before
         chosen, far = [0], np.full(len(rows), np.inf)
         table = []
         for _ in range(min(pivots, len(rows))):
-            p = chosen[-1]
-            d = np.sqrt(np.maximum(2 * self.m2 - 2 * (self.rows @ self.rows[p].astype(np.float64) + lift * lift[p]), 0))
+            d = np.sqrt(np.maximum(2 - 2 * (unit @ unit[chosen[-1]]), 0))
             table.append(d)
             far = np.minimum(far, d)
             chosen.append(int(far.argmax()))
-        self.pivots, self.table = self.rows[chosen[:-1]], np.array(table, np.float32)
+        self.pivots, self.table = unit[chosen[:-1]], np.array(table, np.float32)
         #: Candidates looked at in the order of their bounds, and by a product over the block.
         self.in_order, self.in_products = 0, 0
 
     def bounds(self, queries: np.ndarray) -> Iterator[np.ndarray]:
         """Upper bounds of the scores, query by query. Distances are single precision; the slack is ten times its error."""
-        own = (queries**2).sum(1)
-        d = np.sqrt(np.maximum(own[:, None] + self.m2 - 2 * (queries @ self.pivots.T.astype(np.float64)), 0)).astype(np.float32)
-        for square, far in zip(own, d, strict=True):
-            low = np.abs(self.table - far[:, None]).max(0)
+        own = np.sqrt((queries**2).sum(1))
+        d = np.sqrt(np.maximum(2 - 2 * ((queries / np.maximum(own, 1e-300)[:, None]) @ self.pivots.T), 0)).astype(np.float32)
+        near = np.argpartition(d, NEAREST, 1)[:, :NEAREST] if d.shape[1] > NEAREST else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        for norm, far, by in zip(own, d, near, strict=True):
+            low = np.abs(self.table[by] - far[by, None]).max(0)
             low *= low
-            yield (square + self.m2) * (0.5 + 1e-5) + 1e-6 - low / 2
+            yield norm * self.norms * (1 + 1e-5 - low / 2) + 1e-6
 
     def _better(self, found: tuple[np.ndarray, np.ndarray], by: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         ids, scores = np.r_[found[0], self.ids[by]], np.concatenate((found[1], scores))
@@ -152,8 +152,8 @@ def top_k(table: DataFrame, k: int, is_query: Column, factor: float = 64.0, id_c
     Rows are made whole numbers of the smallest type and packed before they travel: a copy of a row for each QUERIES
     queries, a copy of a query for each PART rows (or as many as make the tasks of a shuffle). A task holds its
     queries with what they have found and takes its blocks in turn, so that the k-th score of the blocks before spares
-    work in the next. A block's pivot table is made by the task that searches it: it takes PIVOTS products of the block,
-    less than a row's copy would cost to bring.
+    work in the next. A block's pivot table is made by the task that searches it: it takes PIVOTS products of the
+    block, and bringing it would take as many numbers a row.
     """
     spark = table.sparkSession
     d = table.select(table[f"`{id_col}`"].cast("long").alias("id"), table[f"`{vector_col}`"].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))

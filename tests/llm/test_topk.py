@@ -54,7 +54,7 @@ def test_bounds_hold_and_spare_work():
     scores = rows[:50] @ block.rows.T
     assert (bounds >= scores).all()
     kth = np.sort(scores, axis=1)[:, -20]
-    assert (bounds >= kth[:, None]).mean() < 0.5
+    assert (bounds >= kth[:, None]).mean() < 0.15
 
 
 def test_clustered_vectors_go_in_the_order_of_their_bounds():
@@ -70,7 +70,7 @@ def test_clustered_vectors_go_in_the_order_of_their_bounds():
     for q, (i, v) in enumerate(found):
         want = sorted((-scores[q, x], x) for x in range(4000) if x != q)[:20]
         assert [*zip((-v).tolist(), i.tolist(), strict=True)] == want
-    assert not any(b.in_products for b in blocks) and sum(b.in_order for b in blocks) < 0.3 * 40 * 4000
+    assert not any(b.in_products for b in blocks) and sum(b.in_order for b in blocks) < 0.2 * 40 * 4000
 
 
 def test_wide_vectors_and_large_numbers(spark):
