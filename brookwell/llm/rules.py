@@ -6,7 +6,7 @@ import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from math import lgamma, log, log1p, sqrt
+from math import ceil, lgamma, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -142,9 +142,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, most: float, d
     """
     one = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_good")).where("_id is not null and _good is not null").groupBy("_id").agg(F.min("_good").alias("_good"))
     held = measured.where(~base_fails()).join(one, F.col(id_col) == F.col("_id"))
-    held = materialize(held.select(F.col(stratum).alias("s"), (F.col("_good") >= 1).alias("good"), *MEASURES), "held")
+    held = held.select(F.col(stratum).alias("s"), (F.col("_good") >= 1).alias("good"), *MEASURES)
+    least = ceil(log(delta / len(RULES)) / log1p(-most)) if 0 < most < 1 else 1
+    strong = held.where("good").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("s").alias("strong"))
+    held = materialize(held.join(strong, F.col("s").eqNullSafe(F.col("strong"))).drop("strong"), "held")
     strata = [r[0] for r in held.select("s").distinct().collect()]
     out: dict[tuple[str | None, str], int] = {}
+    if not strata:
+        return out
     own, left = delta / max(1, len(strata) * len(RULES)), dict.fromkeys(strata, most)
     for rule in RULES:
         caught = [F.col("s").eqNullSafe(F.lit(s)) & (bin_of(r) >= out[s, r.name]) for r in RULES for s in strata if (s, r.name) in out]
