@@ -11,6 +11,8 @@ from .common import WORD, clean_rows, materialize
 
 #: Fixed values of the mix: the sources' weights in turn, and how often a source may be repeated at most.
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3.0
+#: Symbols that prose has few of.
+SYMBOLS = r"[#*$%&|<>{}\\^~]"
 #: Documents of a stretch of keys of a source, within which one task makes the exact running sum.
 STRETCH = 4_000
 
@@ -47,9 +49,12 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """A document's weight from 0.25 to 1: less for words far from usual length (symbols, runs without blanks)."""
-    mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3.5, 12), 1.0).when(mean.between(2.5, 20), 0.5).otherwise(0.25)
+    """A document's weight from 1/16 to 1: less for words far from usual length (runs without blanks, single letters) and
+    for many symbols a word."""
+    words = F.greatest(size, F.lit(1))
+    mean, symbols = F.length(text) / words, F.regexp_count(text, F.lit(SYMBOLS)) / words
+    usual = F.when(mean.between(3.5, 12), 1.0).when(mean.between(2.5, 20), 0.5).otherwise(0.25)
+    return usual * F.when(symbols < 0.1, 1.0).when(symbols < 0.5, 0.5).otherwise(0.25)
 
 
 def _weight_classes(d: DataFrame) -> DataFrame:
