@@ -108,15 +108,15 @@ def bind(select: Select, catalog: Catalog) -> DataFrame:
             return _constant(catalog, selectors)
     if select.table is None:
         return _constant(catalog, selectors)
-    names = [select.table, *(j.table for j in select.joins)]
-    if missing := [n for n in names if not catalog.has(n)]:
+    names = [select.alias or select.table, *(j.alias or j.table for j in select.joins)]
+    if missing := [n for n in tables_of(select) if not catalog.has(n)]:
         raise UnknownTable(f"unknown table {missing[0]}")
     if len(set(names)) < len(names):
-        raise EngineError("a table can be named once in a query")
+        raise EngineError("two tables of a query have one name; give an alias (as)")
     alone = not select.joins
-    scope = Scope.of(catalog.read(select.table), select.table, alone)
-    for join in select.joins:
-        scope = _joined(scope, join, Scope.of(catalog.read(join.table), join.table, False))
+    scope = Scope.of(catalog.read(select.table), names[0], alone)
+    for join, name in zip(select.joins, names[1:], strict=True):
+        scope = _joined(scope, join, Scope.of(catalog.read(join.table), name, False))
     where = filter_column(select.where, scope.column)
     df = scope.df if where is None else scope.df.where(where)
     if select.group_by or any(isinstance(s.item, Call) for s in selectors):

@@ -60,6 +60,9 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "group_keys_only": ("select p_brand from part group by p_brand", "SELECT p_brand FROM part GROUP BY p_brand"),
     "group_order": ("select l_suppkey, count(*) as n from lineitem group by l_suppkey order by l_suppkey limit 20", "SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY l_suppkey LIMIT 20"),
     "join_group": ("select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name", "SELECT n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "join_self": ("select a.n_name as name, b.n_name as other, r_name from nation as a join nation as b on a.n_regionkey = b.n_regionkey join region as r on b.n_regionkey = r.r_regionkey where a.n_nationkey != 3", "SELECT a.n_name AS name, b.n_name AS other, r_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN region ON b.n_regionkey = r_regionkey WHERE a.n_nationkey <> 3"),
+    "group_default_name": ("select o_orderstatus, count(o_orderkey), MAX(o_orderkey) from orders group by o_orderstatus", "SELECT o_orderstatus, COUNT(o_orderkey) AS \"count(o_orderkey)\", MAX(o_orderkey) AS \"MAX(o_orderkey)\" FROM orders GROUP BY o_orderstatus"),
+    "call_without_from": ("select count(x) as n, 'y' as y", "SELECT CAST(0 AS BIGINT) AS n, 'y' AS y"),
     "select_constant": ("select 1 as a, 'x' as b", "SELECT CAST(1 AS INTEGER) AS a, 'x' AS b"),
 }
 _THETA = {"ne": ("!=", "<>"), "gt": (">", ">"), "lt": ("<", "<"), "ge": (">=", ">="), "le": ("<=", "<=")}
@@ -323,6 +326,73 @@ def drop_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["k"], r["name"]) for r in rows], "k long, name string")
 
 
+def bulk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python rows by name, by position, as columns, and one by one through a buffer."""
+    from .streaming.ingest import BufferedInserter
+
+    engine = engine_at(spark, sf_dir)
+    engine.execute("create table bulk (k int primary key, name string default 'none', part string)")
+    rows = [tuple(r) for r in engine.table("nation").select("n_nationkey", "n_name").collect()]  # 25 rows
+    engine.insert_rows("bulk", [{"k": k, "name": n, "part": "rows", "unknown": 1} for k, n in rows])
+    engine.insert_values("bulk", [(100 + k, n, "values") for k, n in rows])
+    engine.insert_columns("bulk", {"k": [200 + k for k, _ in rows], "part": ["columns"] * len(rows)})
+    with BufferedInserter(engine, "bulk", size=10) as buffer:
+        for k, n in rows:
+            buffer.add({"k": 300 + k, "name": n, "part": "buffer"})
+    return engine.execute("select * from bulk")
+
+
+def http_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in and a query's rows out, over HTTP."""
+    import threading
+    import urllib.request
+
+    from .server import serve
+
+    engine = engine_at(spark, sf_dir)
+    engine.execute("create table sent (k int primary key, name string)")
+    server = serve(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(body: dict):
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/query", json.dumps(body).encode())) as answer:
+            return json.loads(json.loads(answer.read())["data"])
+
+    try:
+        ask({"table": "sent", "rows": [{"k": r.n_nationkey, "name": r.n_name} for r in engine.table("nation").collect()]})
+        rows = ask({"query": "select k, name from sent where k > 4"})
+    finally:
+        server.shutdown()
+    return spark.createDataFrame([(r["k"], r["name"]) for r in rows], "k long, name string")
+
+
+def delete_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_at(spark, sf_dir)
+    _copy(engine, "r", "rk int primary key, name string", engine.table("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("name")))
+    _copy(engine, "n", "nk int primary key, rk int references r(rk) on delete set null", engine.table("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk")))
+    engine.execute("delete from r where name = 'ASIA'")
+    return engine.execute("select * from n")
+
+
+def memory_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is kept in the executors' memory, changed and read again."""
+    engine = Engine(spark, memory=True)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    _copy(engine, "copy", _PART, part)
+    engine.execute("select count(*) as n from copy").collect()
+    engine.execute("update copy set p_size = 0 where p_size > 25")
+    return engine.execute("select * from copy")
+
+
+def drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_at(spark, sf_dir)
+    engine.execute("create table a (x int primary key, y varchar(5) not null)")
+    engine.execute("create index i on a (y)")
+    engine.execute("create index j on a (x)")
+    engine.execute("drop index i")
+    return engine.execute("describe a")
+
+
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation out to CSV and in again: names cleaned, all columns text."""
     engine = engine_at(spark, sf_dir)
@@ -414,6 +484,11 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "filter_bool": (filter_bool, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 AND o_totalprice <= 250000"),
     "delete_cascade": (delete_cascade, "SELECT CAST(c_custkey AS BIGINT) AS ck, CAST(c_nationkey AS BIGINT) AS nk FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' AND r_regionkey <> 0"),
     "update_cascade": (update_cascade, "SELECT CAST(c_custkey AS BIGINT) AS ck, CAST(CASE WHEN r_name = 'EUROPE' THEN 100 ELSE r_regionkey END AS BIGINT) AS rk, CAST(CASE WHEN n_nationkey = 3 THEN 200 ELSE n_nationkey END AS BIGINT) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "bulk_rows": (bulk_rows, "SELECT CAST(n_nationkey + at AS BIGINT) AS k, CASE WHEN part = 'columns' THEN 'none' ELSE n_name END AS name, part FROM nation, (VALUES (0, 'rows'), (100, 'values'), (200, 'columns'), (300, 'buffer')) p(at, part)"),
+    "http_query": (http_query, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation WHERE n_nationkey > 4"),
+    "delete_set_null": (delete_set_null, "SELECT CAST(n_nationkey AS BIGINT) AS nk, CAST(CASE WHEN r_name <> 'ASIA' THEN n_regionkey END AS BIGINT) AS rk FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "memory_mode": (memory_mode, "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, CAST(CASE WHEN p_size > 25 THEN 0 ELSE p_size END AS BIGINT) AS p_size, p_retailprice FROM part"),
+    "drop_index": (drop_index, "SELECT * FROM (VALUES ('x', 'int', TRUE, '', 'j'), ('y', 'varchar', FALSE, 'not null; length <= 5', '')) t(\"column\", \"type\", primary_key, constraints, indexes)"),
     "drop_recreate": (drop_recreate, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation"),
     "stream_ingest": (stream_ingest, "SELECT event_id, user_id, event_type, value FROM events"),
     "show_tables": (show_tables, "SELECT * FROM (VALUES ('a', CAST(2 AS INTEGER)), ('b', CAST(1 AS INTEGER))) t(\"table\", columns)"),

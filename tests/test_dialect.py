@@ -17,6 +17,12 @@ def test_joins(kind, op):
     assert parse(f"select * from a {kind} join b on a.x {op} b.y").joins == (Join(kind, "b", "a.x", op, "b.y"),)
 
 
+def test_table_aliases():
+    s = parse("select a.x, b.x as y from t as a left join t as b on a.x = b.z cross join u as c where c.k = 1")
+    assert (s.table, s.alias) == ("t", "a") and s.joins == (Join("left", "t", "a.x", "=", "b.z", "b"), Join("cross", "u", alias="c"))
+    assert parse("find t as q where q.x = 1").alias == "q" and parse("select * from t").alias is None
+
+
 def test_short_surface():
     assert parse("select ships").short and parse("select ships").table == "ships"
     assert parse("select ships where tons > 3").selectors == (Selector(None),)

@@ -403,7 +403,7 @@ def test_new_queries_match_their_sql(spark):
     for t in queries.TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     run, sql = queries.queries(), queries.oracle_sql()
-    for name in ("csv_ragged", "csv_headerless", "csv_lineitem", "index_backfill", "insert_text", "filter_bool", "delete_cascade", "update_cascade", "drop_recreate", "sort_nulls_last"):
+    for name in ("csv_ragged", "csv_headerless", "csv_lineitem", "index_backfill", "insert_text", "filter_bool", "delete_cascade", "update_cascade", "drop_recreate", "sort_nulls_last", "join_self", "group_default_name", "call_without_from", "bulk_rows", "http_query", "delete_set_null", "memory_mode", "drop_index"):
         df = run[name](spark, sf)
         got = con.execute(f"select {', '.join(f'"{c}"' for c in df.columns)} from ({sql[name]})").fetchall()
         assert got and sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, got)), name
