@@ -484,7 +484,7 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "filter_bool": (filter_bool, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 AND o_totalprice <= 250000"),
     "delete_cascade": (delete_cascade, "SELECT CAST(c_custkey AS BIGINT) AS ck, CAST(c_nationkey AS BIGINT) AS nk FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' AND r_regionkey <> 0"),
     "update_cascade": (update_cascade, "SELECT CAST(c_custkey AS BIGINT) AS ck, CAST(CASE WHEN r_name = 'EUROPE' THEN 100 ELSE r_regionkey END AS BIGINT) AS rk, CAST(CASE WHEN n_nationkey = 3 THEN 200 ELSE n_nationkey END AS BIGINT) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
-    "bulk_rows": (bulk_rows, "SELECT CAST(n_nationkey + at AS BIGINT) AS k, CASE WHEN part = 'columns' THEN 'none' ELSE n_name END AS name, part FROM nation, (VALUES (0, 'rows'), (100, 'values'), (200, 'columns'), (300, 'buffer')) p(at, part)"),
+    "bulk_rows": (bulk_rows, "SELECT CAST(n_nationkey + beyond AS BIGINT) AS k, CASE WHEN part = 'columns' THEN 'none' ELSE n_name END AS name, part FROM nation, (VALUES (0, 'rows'), (100, 'values'), (200, 'columns'), (300, 'buffer')) p(beyond, part)"),
     "http_query": (http_query, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation WHERE n_nationkey > 4"),
     "delete_set_null": (delete_set_null, "SELECT CAST(n_nationkey AS BIGINT) AS nk, CAST(CASE WHEN r_name <> 'ASIA' THEN n_regionkey END AS BIGINT) AS rk FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "memory_mode": (memory_mode, "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, CAST(CASE WHEN p_size > 25 THEN 0 ELSE p_size END AS BIGINT) AS p_size, p_retailprice FROM part"),
