@@ -186,9 +186,9 @@ class Engine:
         """Columns of one length by name."""
         return self.load(table, from_columns(self.spark, columns), validate)
 
-    def import_csv(self, path: str, table: str = "transactions", delimiter: str = ",") -> int:
-        """A CSV file (or folder) into a table of text columns, made if it isn't there; the number of rows."""
-        df = read_csv(self.spark, path, delimiter)
+    def import_csv(self, path: str, table: str = "transactions", delimiter: str = ",", multiline: bool = True) -> int:
+        """A CSV file (or folder) into a table of text columns, made if it isn't there; the number of rows. See read_csv."""
+        df = read_csv(self.spark, path, delimiter, multiline)
         if not self.catalog.has(table):
             columns = ", ".join(f"{c} string" for c in df.columns)
             self.execute(f"create table {table} ({columns})")

@@ -41,10 +41,10 @@ def column_names(first: list[str]) -> tuple[list[str], bool]:
     return names, True
 
 
-def _records(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame | None, list[str], list[str]]:
+def _records(spark: SparkSession, path: str, delimiter: str, multiline: bool) -> tuple[DataFrame | None, list[str], list[str]]:
     """All records below the header with _bad beside (null for those of the right length), their columns, and their names."""
-    # a record may go over several lines, so a file isn't cut: one task reads it, as a stream
-    options = {"sep": delimiter, "multiLine": True, "mode": "PERMISSIVE", "columnPruning": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "nullValue": "\u0000", "emptyValue": ""}
+    # where a record may go over several lines, a file isn't cut: one task reads it, as a stream
+    options = {"sep": delimiter, "multiLine": multiline, "mode": "PERMISSIVE", "columnPruning": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "nullValue": "\u0000", "emptyValue": ""}
     first = spark.read.options(**options).option("header", False).csv(path).first()
     if first is None:
         return None, [], []
@@ -57,14 +57,15 @@ def _records(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame
     return rows.where(F.coalesce(F.length("_c0"), F.lit(0)) >= 0), inner, names
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
     """All columns as text. Only the first record is looked at on the driver; a data record there stays data.
 
     Rows with more or fewer cells than the first record are left out. A cell may hold quoted delimiters, quotes and
     line breaks (\\r\\n comes as \\n); blanks before a cell are cut. As line breaks don't show where a record begins,
-    each file is read by one task; many files are read side by side.
+    each file is read by one task; many files are read side by side. With multiline=False every line is a record, and
+    many tasks read a large file.
     """
-    rows, inner, names = _records(spark, path, delimiter)
+    rows, inner, names = _records(spark, path, delimiter, multiline)
     if rows is None:
         return spark.createDataFrame([], T.StructType([]))
     # in a row of the right length a null cell is an empty one
@@ -74,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     return rows.where("_bad is null").select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
 
 
-def skipped(spark: SparkSession, path: str, delimiter: str = ",") -> int:
+def skipped(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True) -> int:
     """Number of rows that read_csv leaves out."""
-    rows, _, _ = _records(spark, path, delimiter)
+    rows, _, _ = _records(spark, path, delimiter, multiline)
     return 0 if rows is None else rows.where("_bad is not null").count()

@@ -569,3 +569,21 @@ def test_server_options(capsys):
     for wrong in (["--durable"], ["--memory", "--root", "r"], ["--memory", "--durable"]):
         with pytest.raises(SystemExit):
             options(wrong)
+
+
+def test_csv_lines_as_records(spark, engine, tmp_path):
+    """A large file is cut where lines are records, and gives the same rows."""
+    lines = [f'{i},"a, ""{i}""",x{i % 7}' if i % 10 else f"{i},ragged" for i in range(20_000)]
+    (tmp_path / "f.csv").write_text("\n".join(["Key,Some Text,Kind", *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        engine.import_csv(f"file://{tmp_path}/f.csv", "cut", multiline=False)
+        assert engine.import_csv(f"file://{tmp_path}/f.csv", "whole") == 18_000
+        from brookwell.sources.csv import read_csv
+
+        assert read_csv(spark, f"file://{tmp_path}/f.csv", multiline=False).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    a, b = engine.table("cut"), engine.table("whole")
+    assert a.columns == ["key", "some_text", "kind"] and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
