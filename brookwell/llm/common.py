@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,12 @@ def fresh_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+#: After so many writes the driver's JVM collects its garbage: only then Spark lets go of the shuffle files, broadcasts and
+#: compiled plans of jobs that are done, and an operator of many rounds leaves many behind.
+COLLECT = 6
+_WRITES = count(1)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again.
 
@@ -93,6 +99,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if next(_WRITES) % COLLECT == 0:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -206,6 +214,8 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Rec
 
 #: Keys that hold more than 1 / HOT of the rows come by broadcast in spread_join; there are fewer than HOT of them.
 HOT = 1000
+#: Of so few (narrow) rows all may have one key: a task takes them in a moment, and a plain join is a much smaller plan.
+PLAIN = 1 << 20
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: int, by: str) -> DataFrame:
@@ -214,8 +224,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: i
     right: the keys, n (rows of left with them, or more), value; a row a key. total: rows of left, or more. Fewer than
     HOT keys can have more than total / HOT rows: these come by broadcast. Rows of such a key, or with a null in it, are
     dealt by the column `by` and the others by their keys. `by` must be a value that a repeated task finds again, such as
-    a number that was written with the row.
+    a number that was written with the row. Up to PLAIN rows it is a plain join.
     """
+    if total <= PLAIN:
+        value = right.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "value")
+        match = F.lit(True)
+        for k in keys:
+            match &= F.col(k) == F.col(f"_key_{k}")
+        return left.join(value, match, "left").select(*left.columns, "value")
     hot = F.col("n") * HOT > total
     # always 0, but no literal: the optimizer would take that out of the join's keys
     none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("_own")

@@ -116,7 +116,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 #: Members of a block in a large bucket of sketches, and in a large candidate cluster of full sets.
 SKETCH_BLOCK, SET_BLOCK = 4096, 256
 #: Members of a large group that meet one copy of a round's hubs, and the hubs of a round (about).
-STAR, HUBS = 4096, 16
+STAR, HUBS = 512, 16
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

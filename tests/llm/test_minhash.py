@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from brookwell.llm import graph, minhash
+from brookwell.llm import common, graph, minhash
 
 from .helpers import components, corpus, shingles, table, words
 
@@ -27,13 +27,14 @@ def test_groups_are_exact(spark):
         assert got == expected(rows)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_large_groups_in_blocks(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, plain", [(4, 0), (5, 1 << 20)])
+def test_large_groups_in_blocks(spark, monkeypatch, seed, plain):
     """Near copies in more than one block, in buckets and in clusters."""
     monkeypatch.setattr(minhash, "SKETCH_BLOCK", 8)
     monkeypatch.setattr(minhash, "SET_BLOCK", 4)
     monkeypatch.setattr(minhash, "STAR", 7)
     monkeypatch.setattr(minhash, "HUBS", 3)
+    monkeypatch.setattr(common, "PLAIN", plain)
     rng = random.Random(seed)
     base = words(rng, 80).split()
     rows = []
@@ -137,8 +138,10 @@ def test_components_of_a_long_chain(spark):
     assert graph.components(edges.limit(0)).collect() == []
 
 
-def test_components_with_a_hub(spark):
+@pytest.mark.parametrize("plain", [0, 1 << 20])
+def test_components_with_a_hub(spark, monkeypatch, plain):
     """One vertex with most of the links: its key comes by broadcast."""
+    monkeypatch.setattr(common, "PLAIN", plain)
     rng = random.Random(2)
     links = [(7, i) for i in range(1000, 4000)] + [(i, i + 1) for i in range(5000, 5050)] + [(rng.randrange(6000, 9000), rng.randrange(6000, 9000)) for _ in range(1500)]
     found = {r.v: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -146,11 +149,13 @@ def test_components_with_a_hub(spark):
     assert found == want
 
 
-def test_spread_join(spark):
+@pytest.mark.parametrize("plain", [0, 1 << 20])
+def test_spread_join(spark, monkeypatch, plain):
     from pyspark.sql import functions as F
 
     from brookwell.llm.common import spread_join
 
+    monkeypatch.setattr(common, "PLAIN", plain)
     left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")).alias("k"))
     right = left.where("k is not null and k % 2 = 0").groupBy("k").agg(F.count("*").alias("n")).withColumn("value", F.struct((F.col("k") * 2).alias("twice")))
     out = spread_join(left, right, ["k"], 5000, "id").collect()

@@ -4,7 +4,7 @@ import hashlib
 import pytest
 import zstandard
 
-from brookwell.llm import warc
+from brookwell.llm import common, warc
 
 KIND = "page_id long, url string, html string, data string, rid string"
 
@@ -84,7 +84,9 @@ def test_a_lost_chunk_is_an_error(spark):
             warc.write_archives(chunks.where(f"not ({gone})"), warc.roles(chunks))
 
 
-def test_a_payload_that_most_records_have(spark):
+@pytest.mark.parametrize("plain", [0, 1 << 20])
+def test_a_payload_that_most_records_have(spark, monkeypatch, plain):
+    monkeypatch.setattr(common, "PLAIN", plain)
     many = [(i, "u", "the same" if i % 3 else f"own {i}", "", "") for i in range(3000)]
     got = warc.archived(spark.createDataFrame(many, KIND)).collect()
     assert sorted(str(tuple(r)) for r in got) == expected(many)
