@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, clean_rows, materialize
+from .common import WORD, clean_rows, materialize, materialize_counted
 
 #: Fixed values of the mix: the sources' weights in turn, and how often a source may be repeated at most.
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3.0
@@ -114,22 +114,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.withColumn("stretch", F.floor(before * stretches)).drop("weight", "classes")
     d = materialize(_summed(d).withColumn("whole", (F.col("sum") <= F.col("rest")) & (F.col("size") > 0)), "drawn")
     gaps = d.where("rest > 0").groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0))).alias("gap"))
-    gaps = materialize(gaps.withColumnRenamed("source", "s"), "gaps")
+    at = F.struct("key", "doc_id", "row").alias("at")
+    gaps = materialize(gaps.select(F.col("source").alias("s"), "gap", F.lit(None).cast(d.select(at).schema["at"].dataType).alias("last")), "gaps")
     left = d.where("not whole and size > 0 and rest > 0").select("source", "stretch", "key", "doc_id", "row", "size")
-    # what the whole documents leave goes to those further on that still fit, until none does: a round takes one of each such source at least
+    # what the whole documents leave goes to those further on that still fit, until none does: a round takes one of each
+    # such source at least. Gaps only shrink, so what doesn't fit once never does, and a round goes on where the last ended.
+    fits = materialize(left.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where("size <= gap").select(left.columns), "fits")
     taken = []
     while True:
-        fits = left.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s").where("size <= gap")
+        now = fits.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s").where((F.col("size") <= F.col("gap")) & (F.col("last").isNull() | (at > F.col("last"))))
         # the stretches from which nothing can fit are left out before the rows of the others are put in order
-        new = materialize(_summed(fits, F.col("gap")).where("sum <= gap").select("source", "row", "size"), "taken")
-        if new.isEmpty():
+        new, found = materialize_counted(_summed(now, F.col("gap")).where("sum <= gap").select("source", "row", "size", at), "taken", n=F.count("*"))
+        if not found["n"]:
             break
         taken.append(new)
-        minus = new.groupBy("source").agg(F.sum("size").alias("minus"))
-        gaps = materialize(gaps.join(minus, F.col("source").eqNullSafe(F.col("s")), "left").select("s", (F.col("gap") - F.coalesce("minus", F.lit(0))).alias("gap")), "gaps")
-        left = left.join(new.select(F.col("row").alias("gone")), F.col("row") == F.col("gone"), "left_anti")
+        minus = new.groupBy("source").agg(F.sum("size").alias("minus"), F.max("at").alias("at"))
+        gaps = gaps.join(minus, F.col("source").eqNullSafe(F.col("s")), "left")
+        gaps = materialize(gaps.select("s", (F.col("gap") - F.coalesce("minus", F.lit(0))).alias("gap"), F.coalesce("at", "last").alias("last")), "gaps")
     # and the rest to the one left over that comes nearest to it, if any does
     off = F.abs(F.col("size") - F.col("gap"))
+    if taken:
+        gone = reduce(DataFrame.unionByName, taken).select(F.col("row").alias("gone"))
+        left = left.join(gone, F.col("row") == F.col("gone"), "left_anti")
     left = left.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
     last = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "row")).alias("last")).select(F.col("last.row").alias("extra"))
     extra = reduce(DataFrame.unionByName, [t.select(F.col("row").alias("extra")) for t in taken], last)
