@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import clean_rows, fresh_dir, map_arrow, materialize, open_read, open_write, spread_join
 
+#: Levels of compression: of chunks on their way (zstd), of archives (gzip).
+PACK, GZIP = 3, 6
 #: Bytes of a payload chunk (about), of an archive before the next one begins.
 CHUNK, ARCHIVE = 1 << 20, 1 << 30
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -41,7 +43,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rid = TaskContext.get().partitionId() << 33
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=PACK).compress
         rows: list[tuple] = []
         held = 0
         for batch in batches:
@@ -105,7 +107,7 @@ class ArchiveWriter:
         length = len(HTTP_HEAD) + (payload_bytes if kind == "response" else 0)
         fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(length))]
         self.raw = io.BytesIO()
-        self.member = gzip.GzipFile(fileobj=self.raw, mode="wb", compresslevel=1, mtime=0)
+        self.member = gzip.GzipFile(fileobj=self.raw, mode="wb", compresslevel=GZIP, mtime=0)
         self.member.write(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n" + HTTP_HEAD)
 
     def write(self, data: bytes) -> None:
