@@ -17,6 +17,8 @@ from .common import RaggedCache, clean_rows, map_arrow, pieces
 NONE = np.iinfo(np.int32).max
 #: Pre-tokens of up to this many bytes go in matrices of their length's bucket; so many pre-tokens are remembered.
 SHORT, REMEMBERED = 64, 500_000
+#: Bytes of text that are encoded at once; the arrays made on the way take some fifty times that.
+PIECE = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -251,7 +253,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
         bpe = _coder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", PIECE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 coded = bpe.encode(texts)
                 if output == "ids":

@@ -149,6 +149,8 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        # workers stay for later tasks, and what Arrow's pool keeps would count against the executor all that time
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, kind)
 
@@ -252,10 +254,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: i
     return out.select(*left.columns, F.coalesce("_hot", "_rare").alias("value"))
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of size[i] from start[i] on, in a row."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class RaggedCache:
     """Arrays of ids of items (strings), in flat storage; all are forgotten when there are more than most.
 
-    Items are looked up by 64-bit hashes, but an id is only taken over after the item itself has been compared.
+    Items are looked up by 64-bit hashes, but an id is only taken over after the item itself has been compared. Nothing is
+    an object of its own: a worker keeps this for all of its tasks.
     """
 
     def __init__(self, most: int) -> None:
@@ -263,41 +271,47 @@ class RaggedCache:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.items: list[str] = []
-        self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        # hashes in order, with the numbers of their items; by number: an item's symbols, and its ids
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.begin, self.long, self.symbols = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint8)
+        self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def _add(self, hashes: np.ndarray, symbols: np.ndarray, start: np.ndarray, long: np.ndarray, parts: list) -> np.ndarray:
+        """The numbers of items that are new; hashes are distinct and in order."""
+        own = np.arange(len(self.at), len(self.at) + len(hashes), dtype=np.int32)
+        to = np.searchsorted(self.keys, hashes)
+        self.keys, self.number = np.insert(self.keys, to, hashes), np.insert(self.number, to, own)
+        self.begin = np.concatenate((self.begin, len(self.symbols) + np.cumsum(long) - long))
+        self.long = np.concatenate((self.long, long.astype(np.int32)))
+        self.symbols = np.concatenate((self.symbols, symbols[ragged(start, long)]))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size.astype(np.int32)))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum()))))
+        return own
 
     def ids(self, hashes: np.ndarray, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, item: Callable[[int], str], learn: Callable[[list[str]], list]):
         """(ids of all items in a row, number of ids of each). The i-th item has that hash, is the run of size[i] symbols
         from start[i] on, and item(i) as a string; what isn't known is asked for at once: learn(list of items)."""
-        if len(self.known) > self.most:
+        if len(self.keys) > self.most:
             self._forget()
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        own = [*map(item, first.tolist())]
-        found = [*map(self.known.get, distinct.tolist())]
         lead = first[back]
-        equal = bool((size == size[lead]).all())
-        if equal:
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            equal = bool((symbols[np.repeat(start, size) + at] == symbols[np.repeat(start[lead], size) + at]).all())
-        if not equal or any(x is not None and self.items[x] != o for x, o in zip(found, own, strict=True)):
+        equal = bool((size == size[lead]).all()) and bool((symbols[ragged(start, size)] == symbols[ragged(start[lead], size)]).all())
+        at = np.searchsorted(self.keys, distinct)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == distinct[hit]
+        number = np.zeros(len(distinct), np.int32)
+        number[hit] = known = self.number[at[hit]]
+        own, long = first[hit], self.long[known].astype(np.int64)
+        equal = equal and bool((size[own] == long).all()) and bool((symbols[ragged(start[own], long)] == self.symbols[ragged(self.begin[known], long)]).all())
+        if not equal:
             # two items of one hash: this once all are encoded as they stand
             parts = learn([item(i) for i in range(len(hashes))])
             return np.fromiter(chain.from_iterable(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            parts = learn([own[i] for i in new])
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            begin = len(self.at)
-            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))))
-            self.items += [own[i] for i in new]
-            for n, i in enumerate(new):
-                found[i] = begin + n
-            self.known.update(zip(distinct[new].tolist(), range(begin, begin + len(new)), strict=True))
-        index = np.array(found, np.int64)[back]
-        n = self.size[index]
-        upto = np.cumsum(n)
-        total = int(upto[-1]) if len(upto) else 0
-        return self.flat[np.repeat(self.at[index] - upto + n, n) + np.arange(total)], n
+        if not hit.all():
+            new = first[~hit]
+            number[~hit] = self._add(distinct[~hit], symbols, start[new], size[new], learn([*map(item, new.tolist())]))
+        index = number[back]
+        n = self.size[index].astype(np.int64)
+        return self.flat[ragged(self.at[index], n)], n

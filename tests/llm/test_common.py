@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,3 +48,21 @@ def test_remembered_items_are_compared(hashing):
         symbols = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         ids, n = cache.ids(np.array([*map(hashing, words)], np.uint64), symbols, start, size, lambda i, w=words: w[i], lambda ws: [[*w.encode()] for w in ws])
         assert ids.tolist() == [*text.encode()] and n.tolist() == size.tolist()
+
+
+def test_remembered_items_take_little_memory():
+    """A worker keeps them beside all that later stages do."""
+    words = [f"{i:07x}" for i in range(50_000)]
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    size = np.full(len(words), 7)
+    hashes, start = np.random.default_rng(1).permutation(len(words)).astype(np.uint64), np.cumsum(size) - size
+    cache = common.RaggedCache(len(words))
+    tracemalloc.start()
+    try:
+        for _ in range(2):
+            ids, n = cache.ids(hashes, points, start, size, words.__getitem__, lambda ws: [[*w[:3].encode()] for w in ws])
+        assert ids.tolist() == [*"".join(w[:3] for w in words).encode()] and set(n.tolist()) == {3}
+        del ids, n
+        assert tracemalloc.get_traced_memory()[0] < 100 * len(words)
+    finally:
+        tracemalloc.stop()
